@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import table
 
 
+def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.telephony import digests, store
+
+    return digests(store(table(spark, sf_dir, "documents")))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -19,6 +25,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_telephony": op6_telephony,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
