@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import table
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.telephony import digests, store
 
@@ -25,6 +31,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_licenses": op3_licenses,
     "op6_telephony": op6_telephony,
     "op10_sentencepiece": op10_sentencepiece,
 }
