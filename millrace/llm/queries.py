@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import table
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.licenses import scan
 
@@ -31,6 +37,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_rules": op2_url_rules,
     "op3_licenses": op3_licenses,
     "op6_telephony": op6_telephony,
     "op10_sentencepiece": op10_sentencepiece,
