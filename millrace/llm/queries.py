@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.url_rules import judge
 
@@ -37,6 +44,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_url_rules": op2_url_rules,
     "op3_licenses": op3_licenses,
     "op6_telephony": op6_telephony,
