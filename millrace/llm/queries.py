@@ -34,6 +34,12 @@ def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(store(table(spark, sf_dir, "documents")))
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffixes import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_rules": op2_url_rules,
     "op3_licenses": op3_licenses,
     "op6_telephony": op6_telephony,
+    "op7_suffixes": op7_suffixes,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
