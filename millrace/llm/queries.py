@@ -28,6 +28,12 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.near import near_classes
+
+    return near_classes(table(spark, sf_dir, "documents")).drop("k", "h")
+
+
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.telephony import digests, store
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_rules": op2_url_rules,
     "op3_licenses": op3_licenses,
+    "op5_jaccard": op5_jaccard,
     "op6_telephony": op6_telephony,
     "op7_suffixes": op7_suffixes,
     "op10_sentencepiece": op10_sentencepiece,
