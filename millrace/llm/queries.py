@@ -46,6 +46,14 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from millrace.llm.packing import assign, bytes_and_end
+
+    return assign(table(spark, sf_dir, "documents"), bytes_and_end(F.col("text")))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard": op5_jaccard,
     "op6_telephony": op6_telephony,
     "op7_suffixes": op7_suffixes,
+    "op8_packing": op8_packing,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
