@@ -54,6 +54,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), bytes_and_end(F.col("text")))
 
 
+def op9_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_telephony": op6_telephony,
     "op7_suffixes": op7_suffixes,
     "op8_packing": op8_packing,
+    "op9_ivf_pq": op9_ivf_pq,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
