@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import table
+from millrace.llm.common import durable, key_of, shared_dir, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,56 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is counted by words and by byte pairs; then words are recounted under a new version, copies of a
+    text but the first are deleted, and the first batch is sent again."""
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from millrace.llm import token_rollup as rollup
+
+    docs = table(spark, sf_dir, "documents")
+    by_words = docs.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("same"), rollup.words(F.col("text")).alias("words"), rollup.letters(F.col("text")).alias("letters"), "text")
+    counts = rollup.bpe(by_words, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, out="pairs")
+    return _rollup(spark, durable(counts, "token-counts"), {"words-1": "words", "bpe-50k-1": "pairs"}, {"words-1": ("words-2", "letters")})
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op4_token_rollup`` over the tokenizers that SQL can express."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm import token_rollup as rollup
+
+    docs = table(spark, sf_dir, "documents")
+    counts = docs.select("doc_id", "source", "lang", F.md5(F.coalesce("text", F.lit(""))).alias("same"), rollup.words(F.col("text")).alias("words"), rollup.letters(F.col("text")).alias("letters"))
+    return _rollup(spark, durable(counts, "token-counts"), {"words-1": "words"}, {"words-1": ("words-2", "letters")})
+
+
+def _rollup(spark: SparkSession, counts: DataFrame, versions: dict[str, str], recounted: dict[str, tuple[str, str]]) -> DataFrame:
+    import uuid
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from millrace.llm.token_rollup import TokenRollup, changes
+
+    def side(version: str, tokens: str) -> dict:
+        return {"source": F.col("source"), "lang": F.col("lang"), "version": F.lit(version), "tokens": F.col(tokens)}
+
+    store = TokenRollup(spark, f"{shared_dir(spark)}/millrace/rollup-{uuid.uuid4().hex}")
+    all_of = lambda parts: reduce(DataFrame.unionByName, parts)
+    ingest = all_of([changes(counts, "insert", new=side(v, c)) for v, c in versions.items()])
+    store.commit("1-ingest", ingest)
+    store.commit("2-recount", all_of([changes(counts, "revise", new=side(w, d), old=side(v, versions[v])) for v, (w, d) in recounted.items()]))
+    live = dict(recounted.get(v, (v, c)) for v, c in versions.items())
+    keyed = counts.withColumn("k", key_of("doc_id"))
+    first = durable(keyed.groupBy("same").agg(F.min("k").alias("first")), "token-firsts")
+    copies = durable(keyed.join(first, "same").filter("k > first"), "token-copies")
+    store.commit("3-copies", all_of([changes(copies, "delete", old=side(v, c)) for v, c in live.items()]))
+    store.commit("1-ingest", ingest)
+    return store.totals()
+
+
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.near import near_classes
 
@@ -73,6 +123,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_rules": op2_url_rules,
     "op3_licenses": op3_licenses,
+    "op4_token_rollup": op4_token_rollup,
+    "token_rollup_words": token_rollup_words,
     "op5_jaccard": op5_jaccard,
     "op6_telephony": op6_telephony,
     "op7_suffixes": op7_suffixes,
@@ -81,4 +133,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Tokens of version words-2: runs of ASCII letters and digits or beyond ASCII.
+_LETTERS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+ORACLE_SQL: dict[str, str] = {
+    "token_rollup_words": f"""
+        SELECT source, lang, 'words-2' AS version, CAST(count(*) AS BIGINT) AS docs, CAST(sum({_LETTERS}) AS BIGINT) AS tokens
+        FROM documents AS d
+        WHERE NOT EXISTS (SELECT 1 FROM documents AS e WHERE coalesce(e.text, '') = coalesce(d.text, '') AND e.doc_id < d.doc_id)
+        GROUP BY source, lang
+    """,
+}
