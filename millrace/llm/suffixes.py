@@ -26,7 +26,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import NULL_KEY, by_value, durable, key_of, slices, utf8
@@ -36,6 +37,7 @@ by_value(__name__)
 U = np.uint64
 ROOT = U(0x9E3779B97F4A7C15)
 PLACE_BITS = U(24)
+SHIFT = 12
 
 
 @dataclass(frozen=True)
@@ -48,6 +50,10 @@ class Parsing:
     #: Distinct phrases of one trigger beyond which its strings are spread out.
     spread: int = 2048
 
+    def __post_init__(self) -> None:
+        if not 1 < self.gram < self.length or self.length - self.gram >= 1 << SHIFT:
+            raise ValueError("a trigger must be shorter than a string, by less than 4096 bytes")
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that leaves no pattern."""
@@ -91,9 +97,9 @@ def window_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, how: Parsing) -> tuple[np.ndarray, ...]:
-    """Phrases of texts laid end to end: text's number, first start, number of starts, place of the trigger from
-    there, and two 64-bit hashes: of the trigger and of the phrase."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U, U))
+    """Phrases of texts laid end to end: text's number, first start, number of starts, and two 64-bit hashes: of the
+    trigger and of the phrase."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
     if len(data) < how.length:
         return none
     hashes = gram_hashes(data, how.gram)
@@ -122,31 +128,31 @@ def phrases(data: np.ndarray, offsets: np.ndarray, how: Parsing) -> tuple[np.nda
     sums = np.concatenate([np.zeros(1, U), np.cumsum(mixed(hashes + ROOT) * powers[:-1], dtype=U)])
     whole = (sums[begin + count + width - 1] - sums[begin]) * inverse[begin]
     trigger = owner[begin]
-    return text[begin], begin - offsets[text[begin]], count, trigger - begin, hashes[trigger], mixed(whole + count.astype(U))
+    return text[begin], begin - offsets[text[begin]], count, hashes[trigger], mixed(whole + count.astype(U))
 
 
 def parse(docs: DataFrame, how: Parsing) -> DataFrame:
-    """Phrases of rows of ``k, h, text`` (key, the text's own hash, text), equal ones of a task merged.
+    """Phrases of rows of ``k, h, text`` (key, what tells apart rows of equal key, text), equal ones of a task merged.
 
-    ``trigger, phrase``: their hashes; ``k, h, start, count, place``: the first of them; ``later``: the others, each as
-    key, text's hash and start.
+    ``trigger, phrase``: their hashes; ``k, h, spot``: the first of them; ``later``: the others.  A ``spot`` is the
+    phrase's start, shifted by ``SHIFT`` bits, and its number of starts: rows of few columns shuffle in fewer bytes.
     """
-    schema = "trigger long, phrase long, k long, h long, start long, count int, place int, later array<struct<k:long,h:long,start:long>>"
+    schema = "trigger long, phrase long, k long, h long, spot long, later array<struct<k:long,h:long,spot:long>>"
 
     def merged(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        k, h, start, count, place, trigger, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((start, k, phrase, trigger))
-        k, h, start, count, place, trigger, phrase = (x[order] for x in (k, h, start, count, place, trigger, phrase))
+        k, h, spot, trigger, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((spot, k, phrase, trigger))
+        k, h, spot, trigger, phrase = (x[order] for x in (k, h, spot, trigger, phrase))
         first = np.ones(len(k), bool)
         first[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
         head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
-        first |= (k == k[head]) & (start == start[head])  # rows that share a key don't come after each other
+        first |= (k == k[head]) & (spot == spot[head])  # rows that share a key don't come after each other
         heads, rest = np.flatnonzero(first), np.flatnonzero(~first)
         ends = np.zeros(len(heads) + 1, np.int32)
         ends[1:] = np.cumsum(np.diff(np.append(heads, len(k))) - 1)
-        later = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[rest]) for x in (k, h, start)], ["k", "h", "start"]))
-        columns = [pa.array(x[heads]) for x in (trigger.view(np.int64), phrase.view(np.int64), k, h, start, count.astype(np.int32), place.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*columns, later], names=["trigger", "phrase", "k", "h", "start", "count", "place", "later"])
+        later = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[rest]) for x in (k, h, spot)], ["k", "h", "spot"]))
+        columns = [pa.array(x[heads]) for x in (trigger.view(np.int64), phrase.view(np.int64), k, h, spot)]
+        return pa.RecordBatch.from_arrays([*columns, later], names=["trigger", "phrase", "k", "h", "spot", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[np.ndarray, ...]] = []
@@ -159,9 +165,9 @@ def parse(docs: DataFrame, how: Parsing) -> DataFrame:
                 for at in range(int(offsets[lo]), int(offsets[hi]), how.piece) if hi == lo + 1 else [int(offsets[lo])]:
                     end = min(int(offsets[hi]), at + how.piece + how.length - 1) if hi == lo + 1 else int(offsets[hi])
                     inner = np.clip(offsets[lo : hi + 1] - at, 0, end - at)
-                    text, start, count, place, trigger, phrase = phrases(data[at:end], inner, how)
+                    text, start, count, trigger, phrase = phrases(data[at:end], inner, how)
                     shift = at - int(offsets[lo]) if hi == lo + 1 else 0
-                    found.append((k[lo + text], h[lo + text], start + shift, count, place, trigger, phrase))
+                    found.append((k[lo + text], h[lo + text], (start + shift) << SHIFT | count, trigger, phrase))
                     held += len(text)
                     if held > 1_000_000:
                         yield merged(found)
@@ -176,18 +182,44 @@ def settle(parsed: DataFrame, how: Parsing) -> DataFrame:
     """The parse: of each phrase, whether it repeats an earlier one whole (``open`` 0) or is a dictionary phrase whose
     strings must be compared (1; 2 where its trigger has very many phrases).  All others can't repeat and are gone."""
     same = Window.partitionBy("trigger", "phrase")
-    place = F.struct("k", "start")
-    one = parsed.withColumn("first", F.min(place).over(same)).withColumn("head", F.row_number().over(same.orderBy("k", "start", "h")) == 1)
+    place = F.struct("k", "spot")
+    one = parsed.repartition("trigger").withColumn("first", F.min(place).over(same)).withColumn("head", F.row_number().over(same.orderBy("k", "spot", "h")) == 1)
     one = one.withColumn("distinct", F.sum(F.col("head").cast("int")).over(Window.partitionBy("trigger")))
     state = F.when(place > F.col("first"), 0).when(F.col("distinct") > how.spread, 2).when(F.col("distinct") > 1, 1)
-    return one.select("trigger", "k", "h", "start", "count", "place", "later", state.alias("open")).filter(F.col("open").isNotNull() | (F.size("later") > 0))
+    return one.select("trigger", "k", "h", "spot", "later", state.alias("open")).filter(F.col("open").isNotNull() | (F.size("later") > 0))
+
+
+def start_of(spot: Column) -> Column:
+    return F.shiftright(spot, SHIFT).alias("start")
+
+
+def count_of(spot: Column) -> Column:
+    return spot.bitwiseAND((1 << SHIFT) - 1).cast("int").alias("count")
+
+
+def packed(texts: DataFrame) -> DataFrame:
+    """Rows of ``k, h, text`` and any other columns, with ``data`` for the text: compressed, to shuffle fewer bytes."""
+    others = [f for f in texts.schema if f.name != "text"]
+    names = [f.name for f in others]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in others) + ", data binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            view = memoryview(data)
+            for lo, hi in slices(offsets, 8 << 20):
+                small = [coder.compress(view[offsets[i] : offsets[i + 1]]) for i in range(lo, hi)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(small, pa.binary())], names=[*names, "data"])
+
+    return texts.mapInArrow(run, schema)
 
 
 STRINGS = "route long, k long, h long, start long, count int, bytes binary"
 
 
 def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
-    """Bytes of dictionary phrases, from rows of ``k, h, text, open`` (a list of the text's phrases).
+    """Bytes of dictionary phrases, from rows of ``k, h, data, open`` (a text, compressed, and the list of its phrases).
 
     Phrases of very wide triggers are cut into their strings, merged within the task; ``bytes`` is null for what is
     known to repeat already.
@@ -196,15 +228,16 @@ def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple[int, int]] = {}
 
+        coder = zstandard.ZstdDecompressor()
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
             k, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             phrase = batch.column(3).flatten()
             ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))])
-            start, count, trigger, wide = (phrase.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            spot, trigger, wide = (phrase.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            start, count = spot >> SHIFT, spot & ((1 << SHIFT) - 1)
             rows: list[tuple[int, int, int, int, int, bytes | None]] = []
             for i in range(batch.num_rows):
-                own = data[offsets[i] : offsets[i + 1]].tobytes()
+                own = coder.decompress(batch.column(2)[i].as_py())
                 for j in range(ends[i], ends[i + 1]):
                     at = int(start[j])
                     if wide[j] != 2:
@@ -223,7 +256,7 @@ def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["route", "k", "h", "start", "count", "bytes"])
                     rows = []
 
-    return texts.select("k", "h", "text", "open").mapInArrow(run, STRINGS)
+    return texts.select("k", "h", "data", "open").mapInArrow(run, STRINGS)
 
 
 def compare(route: np.ndarray, k: np.ndarray, start: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,14 +333,14 @@ def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
     return strings.repartition("route").sortWithinPartitions("route").mapInArrow(run, "k long, h long, start long, count int")
 
 
-def repeats(texts: DataFrame, how: Parsing) -> DataFrame:
-    """For rows of ``k, h, text``: ``k, h, spans``, the starts of repeated strings as runs, each its start and count."""
+def repeats(texts: DataFrame, small: DataFrame, how: Parsing) -> DataFrame:
+    """For rows of ``k, h, text`` (``small``: the same, ``packed``): ``k, h, runs``, the starts of repeated strings as
+    runs, each its start and count."""
     settled = durable(settle(parse(texts, how), how), "phrases")
-    whole = settled.filter(F.col("open") == 0).select("k", "h", "start", "count")
-    merged = settled.filter(F.size("later") > 0).select(F.explode("later").alias("x"), "count").select("x.k", "x.h", "x.start", "count")
-    phrase = F.struct("start", "count", "trigger", "open")
-    wanted = settled.filter(F.col("open") > 0).groupBy("k", "h").agg(F.collect_list(phrase).alias("open"))
-    strings = cut_out(texts.join(wanted, ["k", "h"]), how)
+    whole = settled.filter(F.col("open") == 0).select("k", "h", start_of(F.col("spot")), count_of(F.col("spot")))
+    merged = settled.filter(F.size("later") > 0).select(F.explode("later").alias("x")).select("x.k", "x.h", start_of(F.col("x.spot")), count_of(F.col("x.spot")))
+    wanted = settled.filter(F.col("open") > 0).groupBy("k", "h").agg(F.collect_list(F.struct("spot", "trigger", "open")).alias("open"))
+    strings = cut_out(small.join(wanted, ["k", "h"]), how)
     spans = whole.unionByName(merged).unionByName(dictionary(strings, how))
     return spans.groupBy("k", "h").agg(F.collect_list(F.struct("start", "count")).alias("runs"))
 
@@ -320,23 +353,28 @@ def remove_repeats(docs: DataFrame, how: Parsing | None = None, key: str = "doc_
     other where they start alike.  Null texts count as empty.  ``keep`` names columns to carry along.
     """
     how = how or Parsing()
-    base = docs.select(key_of(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    texts = base.select("k", "h", "text")
-    found = base.join(repeats(texts, how), ["k", "h"], "left")
+    # Only where rows share a key need a hash of the text tell them apart; elsewhere it would be shuffled for nothing.
+    shared = docs.groupBy(key_of(key)).count().filter("count > 1").limit(1).count()
+    apart = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if shared else F.lit(0).cast("long")
+    rows = docs.select(key_of(key).alias("k"), apart.alias("h"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
+    texts = rows.select("k", "h", "text")
+    found = packed(rows).join(repeats(texts, packed(texts), how), ["k", "h"], "left")
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     names = [f"keep_{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = zstandard.ZstdDecompressor()
         for batch in batches:
-            data, offsets = utf8(batch.column("text"))
             runs = batch.column("runs")
             flat = runs.flatten()
             start, count = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             ends = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(runs), 0).to_numpy(zero_copy_only=False))])
-            for a, b in slices(offsets, 4 << 20):
-                kept, removed = [], []
+            for a in range(0, batch.num_rows, 256):
+                b = min(a + 256, batch.num_rows)
+                kept, removed, sizes = [], [], []
                 for i in range(a, b):
-                    own = data[offsets[i] : offsets[i + 1]]
+                    own = np.frombuffer(coder.decompress(batch.column("data")[i].as_py()), np.uint8)
+                    sizes.append(len(own))
                     lo, hi = ends[i], ends[i + 1]
                     if lo == hi:
                         kept.append(own.tobytes())
@@ -351,14 +389,27 @@ def remove_repeats(docs: DataFrame, how: Parsing | None = None, key: str = "doc_
                     removed.append([{"start": int(x), "length": int(y - x)} for x, y in zip(turns[::2], turns[1::2], strict=True)])
                 part = batch.slice(a, b - a)
                 spans = pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column("k"), *(part.column(c) for c in names), pa.array(np.diff(offsets[a : b + 1])), pa.array(kept, pa.binary()), spans], names=["k", *names, "n_bytes", "kept", "removed"])
+                yield pa.RecordBatch.from_arrays([part.column("k"), *(part.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), spans], names=["k", *names, "n_bytes", "kept", "removed"])
 
     schema = ", ".join(["k long", *(f"{n} {t}" for n, t in zip(names, kinds, strict=True)), "n_bytes long", "kept binary", "removed array<struct<start:long,length:long>>"])
-    out = found.select("k", *names, "text", "runs").mapInArrow(run, schema)
+    out = found.select("k", *names, "data", "runs").mapInArrow(run, schema)
     own = F.when(F.col("k") != NULL_KEY, F.col("k")).alias(key)
     return out.select(own, *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_bytes", "kept", "removed")
 
 
+def readable(df: DataFrame, data: str, text: str) -> DataFrame:
+    """``df`` with ``text`` read from the UTF-8 in ``data``, without the remains of characters cut in two."""
+    keep = [f for f in df.schema if f.name != text]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{text}` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column(data).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(read, pa.string())], names=[*(f.name for f in keep), text])
+
+    return df.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, how: Parsing | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``; see ``remove_repeats``."""
     done = remove_repeats(docs, how, key, text)
