@@ -110,16 +110,20 @@ class Grammar:
             weight *= self.turned
         return weight
 
-    def features(self, text: str | None) -> tuple[float, float, float, float]:
-        clauses, weights = self.clause_weights(text)
+    @staticmethod
+    def features(clauses: int, weights: list[float]) -> tuple[float, float, float, float]:
+        """What the curve is over: the best clause, all clauses together, and the share of clauses that matched."""
         if not weights:
             return 1.0, 0.0, 0.0, 0.0
         return 1.0, max(weights), math.log1p(sum(weights)), len(weights) / clauses
 
+    def curved(self, clauses: int, weights: list[float]) -> float:
+        z = sum(w * x for w, x in zip(self.curve, self.features(clauses, weights), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
     def score(self, text: str | None) -> float:
         """Between 0 and 1; a text without a matched clause has the curve's lowest value."""
-        z = sum(w * x for w, x in zip(self.curve, self.features(text), strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return self.curved(*self.clause_weights(text))
 
 
 def entries(text: str | None) -> set[str]:
@@ -190,7 +194,7 @@ def fit(labelled: DataFrame, how: Fit | None = None) -> Grammar:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [grammar.features(t) for t in batch.column(0).to_pylist()]
+            x = [grammar.features(*grammar.clause_weights(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v == 1 for v in batch.column(1).to_pylist()]), *(pa.array([r[k] for r in x], pa.float64()) for k in (1, 2, 3))], names=["y", "a", "b", "c"])
 
     got = labelled.mapInArrow(run, "y boolean, a double, b double, c double").toPandas()
@@ -224,9 +228,7 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, key: str =
             scores, clauses, matched = [], [], []
             for value in texts.to_pylist():
                 n, weights = grammar.clause_weights(value)
-                x = (1.0, max(weights), math.log1p(sum(weights)), len(weights) / n) if weights else (1.0, 0.0, 0.0, 0.0)
-                z = sum(w * v for w, v in zip(grammar.curve, x, strict=True))
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                scores.append(grammar.curved(n, weights))
                 clauses.append(n)
                 matched.append(len(weights))
             said = [int(s >= threshold) for s in scores]
@@ -235,6 +237,19 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, key: str =
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int, clauses long, matched long")
 
 
+def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns."""
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [grammar.score(t) < threshold for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, how: Fit | None = None, key: str = "doc_id") -> Grammar:
     """Fit on the labelled documents that are not held out: those with crc32 of the key as text mod 4 other than 2."""
     how = how or Fit()
