@@ -93,7 +93,8 @@ def map_of(key: str, value: str) -> Monoid:
 
     def aggregate(v: Column, order: Column | None) -> Column:
         empty = F.create_map().cast(f"map<{key},{value}>")
-        return F.aggregate(_in_order(v, order), empty, lambda done, x: merge(done, x))
+        # Maps have no order among equals of ``order``; their entries have.
+        return F.aggregate(_in_order(F.map_entries(v), order), empty, lambda done, x: merge(done, F.map_from_entries(x)))
 
     return Monoid("map", lambda: F.create_map().cast(f"map<{key},{value}>"), merge, aggregate, ordered=True)
 

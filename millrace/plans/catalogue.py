@@ -47,7 +47,8 @@ def cents(value: str | Column) -> Column:
     return F.round((F.col(value) if isinstance(value, str) else value) * 100).cast("long")
 
 
-COUNT = F.count(F.lit(1)).cast("long")
+def counted() -> Column:
+    return F.count(F.lit(1)).cast("long")
 
 
 # Stages: flat-map, keyed and global aggregation.
@@ -55,7 +56,7 @@ COUNT = F.count(F.lit(1)).cast("long")
 
 @query("SELECT count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)")
 def line_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = flat_map("lines", lines_of(F.col("text"))) >> aggregate("count", [], {"n": COUNT})
+    stage = flat_map("lines", lines_of(F.col("text"))) >> aggregate("count", [], {"n": counted()})
     return stage(table(spark, sf_dir, "documents"))
 
 
@@ -64,15 +65,15 @@ _WORDS = "SELECT unnest(regexp_split_to_array(text, '[ \\t\\n\\r\\f]+')) AS word
 
 @query(f"SELECT word, count(*) AS cnt FROM ({_WORDS}) WHERE word <> '' GROUP BY word")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = aggregate("word count", ["word"], {"cnt": COUNT}, mapper=lambda df: df.select(F.explode(words(F.col("text"))).alias("word")))
+    stage = aggregate("word count", ["word"], {"cnt": counted()}, mapper=lambda df: df.select(F.explode(words(F.col("text"))).alias("word")))
     return stage(table(spark, sf_dir, "documents"))
 
 
 @query(f"SELECT 'Total Count' AS label, count(DISTINCT word) AS cnt FROM ({_WORDS}) WHERE word <> ''")
 def word_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipeline = Pipeline(spark, "wordtotal")
-    counts = pipeline.lazily(aggregate("word count", ["word"], {"cnt": COUNT}), table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("word")))
-    return pipeline.lazily(aggregate("total", [], {"cnt": COUNT}), counts).select(F.lit("Total Count").alias("label"), "cnt")
+    counts = pipeline.lazily(aggregate("word count", ["word"], {"cnt": counted()}), table(spark, sf_dir, "documents").select(F.explode(words(F.col("text"))).alias("word")))
+    return pipeline.lazily(aggregate("total", [], {"cnt": counted()}), counts).select(F.lit("Total Count").alias("label"), "cnt")
 
 
 @query("SELECT doc_id, substring(text, 1, 5) AS text, substring(lang, 1, 5) AS lang, substring(source, 1, 5) AS source FROM documents")
@@ -83,7 +84,7 @@ def truncate_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_returnflag, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def group_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stage = aggregate("group sum", ["l_returnflag"], {"qty": F.sum(F.col("l_quantity").cast("long")), "n": COUNT})
+    stage = aggregate("group sum", ["l_returnflag"], {"qty": F.sum(F.col("l_quantity").cast("long")), "n": counted()})
     return stage(table(spark, sf_dir, "lineitem"))
 
 
@@ -110,7 +111,7 @@ def combiner_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS n FROM lineitem WHERE l_quantity < 0 HAVING count(*) > 0")
 def empty_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A constant key over no rows gives no row."""
-    return aggregate("none", [], {"n": COUNT})(table(spark, sf_dir, "lineitem").filter("l_quantity < 0"))
+    return aggregate("none", [], {"n": counted()})(table(spark, sf_dir, "lineitem").filter("l_quantity < 0"))
 
 
 # Joins.
@@ -126,7 +127,7 @@ def join_required_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT coalesce(s_suppkey, k) AS k, CAST(coalesce(n, 0) + coalesce(b, 0) AS BIGINT) AS value FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY ALL HAVING l_suppkey % 3 <> 0) FULL JOIN (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS b FROM supplier WHERE s_suppkey % 2 = 0) ON s_suppkey = k")
 def join_all_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sold = aggregate("sold", ["k"], {"value": COUNT}, mapper=lambda df: df.select(F.col("l_suppkey").alias("k")).filter("k % 3 != 0"))(table(spark, sf_dir, "lineitem"))
+    sold = aggregate("sold", ["k"], {"value": counted()}, mapper=lambda df: df.select(F.col("l_suppkey").alias("k")).filter("k % 3 != 0"))(table(spark, sf_dir, "lineitem"))
     rich = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), cents("s_acctbal").alias("value"))
     return monoid_join([optional(sold), optional(rich)], "k", monoids.sum_())
 
@@ -134,7 +135,7 @@ def join_all_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS k, CAST(n * m * 7 AS BIGINT) AS value FROM customer JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey JOIN (SELECT o_custkey AS z, count(DISTINCT o_orderpriority) AS m FROM orders GROUP BY ALL) ON z = c_custkey")
 def join_all_required_3way(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey"))
-    number = aggregate("orders", ["k"], {"value": COUNT})(orders)
+    number = aggregate("orders", ["k"], {"value": counted()})(orders)
     kinds = aggregate("kinds", ["k"], {"value": F.countDistinct("o_orderpriority")})(orders)
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(7).cast("long").alias("value"))
     return monoid_join([required(number), required(kinds), required(people)], "k", monoids.product("long"))
@@ -167,7 +168,7 @@ def join_self(spark: SparkSession, sf_dir: str) -> DataFrame:
 def join_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["l_suppkey", "l_returnflag"]
     rows = table(spark, sf_dir, "lineitem")
-    count = aggregate("n", by, {"value": COUNT})(rows)
+    count = aggregate("n", by, {"value": counted()})(rows)
     most = aggregate("m", by, {"value": F.max("l_linenumber").cast("long")})(rows)
     return monoid_join([required(count), required(most)], by, monoids.sum_())
 
@@ -177,7 +178,7 @@ def join_composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS k, count(*) AS n, CAST(row_number() OVER (ORDER BY CAST(o_custkey AS VARCHAR)) AS BIGINT) AS place FROM orders GROUP BY o_custkey")
 def int_key_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = aggregate("by text", ["k"], {"n": COUNT}, mapper=lambda df: df.select(keys.int_key(F.col("o_custkey")).alias("k")))(table(spark, sf_dir, "orders"))
+    counts = aggregate("by text", ["k"], {"n": counted()}, mapper=lambda df: df.select(keys.int_key(F.col("o_custkey")).alias("k")))(table(spark, sf_dir, "orders"))
     return ranked(counts, ["k"])
 
 
@@ -205,7 +206,7 @@ def utc_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, l_returnflag || '|' || l_linestatus || '|' || CAST(l_linenumber AS VARCHAR) AS k FROM lineitem GROUP BY ALL")
 def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["l_returnflag", "l_linestatus", "l_linenumber"]
-    return aggregate("composite", key(*by), {"n": COUNT})(table(spark, sf_dir, "lineitem")).withColumn("k", keys.flat_key(*by))
+    return aggregate("composite", key(*by), {"n": counted()})(table(spark, sf_dir, "lineitem")).withColumn("k", keys.flat_key(*by))
 
 
 @query("SELECT event_id, user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events WHERE user_id IS NOT NULL")
@@ -302,7 +303,7 @@ def filter_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def either_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = codecs.either(lambda c: c.try_cast("long"), lambda c: c)
     mixed = table(spark, sf_dir, "events").select(F.explode(F.array(F.col("event_id").cast("string"), "event_type")).alias("value"))
-    return aggregate("tags", ["tag"], {"n": COUNT})(codec.decode(mixed))
+    return aggregate("tags", ["tag"], {"n": counted()})(codec.decode(mixed))
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS key_1, event_type AS key_2, CAST(event_id AS VARCHAR) || chr(9) || 'x' AS value FROM events WHERE user_id IS NOT NULL")
@@ -326,7 +327,7 @@ def scratch(spark: SparkSession) -> str:
 @query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def file_name_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda t: table(spark, sf_dir, t).select(F.regexp_extract(file_name(), r"([a-z]+)\.parquet(/[^/]*)?$", 1).alias("name"))
-    return aggregate("files", ["name"], {"n": COUNT})(named("nation").unionByName(named("region")))
+    return aggregate("files", ["name"], {"n": counted()})(named("nation").unionByName(named("region")))
 
 
 # Monoids.
@@ -358,7 +359,7 @@ def monoid_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
     pipeline = Pipeline(spark, "sharedvars")
     pipeline.set("threshold", pipeline.run_once("threshold", lambda: 1000))
-    return pipeline.lazily(aggregate("above", [], {"n": COUNT}), table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > F.lit(pipeline.get("threshold"))))
+    return pipeline.lazily(aggregate("above", [], {"n": counted()}), table(spark, sf_dir, "orders").filter(F.col("o_totalprice") > F.lit(pipeline.get("threshold"))))
 
 
 @query("SELECT 'events' AS name, count(*) AS n FROM events")
@@ -373,10 +374,10 @@ def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windowed(table(spark, sf_dir, "events"), "ts", "1 hour", "10 minutes", ["event_type"], {"n": COUNT})
+    return windowed(table(spark, sf_dir, "events"), "ts", "1 hour", "10 minutes", ["event_type"], {"n": counted()})
 
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS sessions, CAST(sum(n) AS BIGINT) AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL) GROUP BY user_id")
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", "10 minutes", ["user_id"], {"n": COUNT})
-    return found.groupBy("user_id").agg(COUNT.alias("sessions"), F.sum("n").alias("events"))
+    found = sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", "10 minutes", ["user_id"], {"n": counted()})
+    return found.groupBy("user_id").agg(counted().alias("sessions"), F.sum("n").alias("events"))

@@ -6,15 +6,23 @@ from pyspark.sql import functions as F
 
 from millrace.functions.codecs import csv, lines
 from millrace.functions.text import prefix, words
-from millrace.operators.stage import aggregate, map_only
+from millrace.operators.stage import Stage, aggregate, map_only
 from millrace.plans.pipeline import Pipeline, app
 from millrace.sources.taps import tap
 
 FREQUENCIES = "word string, cnt long"
 
-word_frequency = aggregate("word frequency", ["word"], {"cnt": F.count(F.lit(1))}, mapper=lambda df: df.select(F.explode(words(F.col("value"))).alias("word")))
-word_total = aggregate("word total", [], {"cnt": F.count(F.lit(1))})
-cut_short = map_only("cut short", lambda df: df.select(*[prefix(F.col(c).cast("string"), 5).alias(c) for c in df.columns]))
+
+def word_frequency() -> Stage:
+    return aggregate("word frequency", ["word"], {"cnt": F.count(F.lit(1))}, mapper=lambda df: df.select(F.explode(words(F.col("value"))).alias("word")))
+
+
+def word_total() -> Stage:
+    return aggregate("word total", [], {"cnt": F.count(F.lit(1))})
+
+
+def cut_short() -> Stage:
+    return map_only("cut short", lambda df: df.select(*[prefix(F.col(c).cast("string"), 5).alias(c) for c in df.columns]))
 
 
 @app("wordcount")
@@ -22,6 +30,6 @@ def wordcount(pipeline: Pipeline) -> None:
     """Reads ``input`` in the workspace; writes ``frequencies``, ``total`` and ``short`` there."""
     here = pipeline.workspace.rstrip("/")
     counts = tap(f"{here}/frequencies", csv(FREQUENCIES))
-    pipeline.connect(word_frequency, tap(f"{here}/input", lines()), counts)
-    pipeline.connect(word_total, counts, tap(f"{here}/total", csv("cnt long")))
-    pipeline.connect(cut_short, counts, tap(f"{here}/short", csv("word string, cnt string")))
+    pipeline.connect(word_frequency(), tap(f"{here}/input", lines()), counts)
+    pipeline.connect(word_total(), counts, tap(f"{here}/total", csv("cnt long")))
+    pipeline.connect(cut_short(), counts, tap(f"{here}/short", csv("word string, cnt string")))
