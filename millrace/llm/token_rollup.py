@@ -96,10 +96,10 @@ def letters(text: Column) -> Column:
     return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")).cast("long")
 
 
-def bpe(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", out: str = "tokens", table_chunks: int = 500_000) -> DataFrame:
+def bpe(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", out: str = "tokens") -> DataFrame:
     """``df`` with the number of byte-pair tokens of each whole text, null counted as empty; ``text`` is dropped.
 
-    Merges don't cross the pattern's chunks, so each distinct chunk is counted once for each Python worker.
+    ``ranks_file`` must be readable on every executor; each Python worker reads it once.
     """
     keep = [f for f in df.schema if f.name not in (text, out)]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keep), f"`{out}` long"])
@@ -107,27 +107,19 @@ def bpe(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", out: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
 
-        import regex
         import tiktoken
 
-        stores = tiktoken.__dict__.setdefault("_millrace_counts", {})
-        if (ranks_file, pattern) not in stores:
+        opened = tiktoken.__dict__.setdefault("_millrace_encodings", {})
+        if (ranks_file, pattern) not in opened:
             with open(ranks_file, "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            stores.clear()
-            stores[ranks_file, pattern] = (tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), {})
-        encoding, counts = stores[ranks_file, pattern]
-        chunks = regex.compile(pattern).findall
+            opened[ranks_file, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = opened[ranks_file, pattern]
         for batch in batches:
-            found = []
-            for value in batch.column(text).to_pylist():
-                parts = chunks(value or "")
-                if len(counts) > table_chunks:
-                    counts.clear()
-                for part in set(parts) - counts.keys():
-                    counts[part] = len(encoding.encode_ordinary(part))
-                found.append(sum(map(counts.__getitem__, parts)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(found, pa.int64())], names=[*(f.name for f in keep), out])
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                found = [len(encoding.encode_ordinary(t or "")) for t in part.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), pa.array(found, pa.int64())], names=[*(f.name for f in keep), out])
 
     return df.mapInArrow(run, schema)
 
