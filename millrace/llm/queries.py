@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.common import durable, key_of, shared_dir, table
+from millrace.llm.license_sql import license_sql
+from millrace.llm.licenses import LicenseIndex
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LETTERS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": license_sql(LicenseIndex()),
     "token_rollup_words": f"""
         SELECT source, lang, 'words-2' AS version, CAST(count(*) AS BIGINT) AS docs, CAST(sum({_LETTERS}) AS BIGINT) AS tokens
         FROM documents AS d
