@@ -39,26 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def durable(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def durable(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
     Every call writes to a path of its own, so a failed job leaves nothing that a later one could take for its result.
+    The files go when ``discard`` is called or the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    root = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, folder = _folder(spark, root)
+    fs.deleteOnExit(folder)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._millrace_path = path
+    return back
 
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a ``durable`` table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    parents = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in parents:
-        if "/millrace/" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    fs, folder = _folder(df.sparkSession, df._millrace_path)
+    fs.delete(folder, True)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def key_of(name: str):
