@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_KEY, by_value, durable, key_of
+from millrace.llm.common import NULL_KEY, by_value, durable, frugal, key_of
 from millrace.llm.components import components
 
 by_value(__name__)
@@ -232,7 +232,7 @@ def signed(docs: DataFrame, how: Near) -> DataFrame:
             hashes = [pa.array(np.array(x, U).view(np.int64)) for x in (a, b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *hashes, pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["k", "h", "a", "b", "n", "sig"])
 
-    return docs.select("k", "h", "text").mapInArrow(run, "k long, h long, a long, b long, n long, sig binary")
+    return docs.select("k", "h", "text").mapInArrow(frugal(run), "k long, h long, a long, b long, n long, sig binary")
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def candidate_edges(found: DataFrame, how: Near) -> DataFrame:
             edges = np.unique(np.column_stack([np.concatenate(us), np.concatenate(vs)]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
-    return paired(members, "bucket", "members", how.bucket_block, "node").mapInArrow(run, "u long, v long")
+    return paired(members, "bucket", "members", how.bucket_block, "node").mapInArrow(frugal(run), "u long, v long")
 
 
 def with_sets(texts: DataFrame, members: DataFrame, how: Near) -> DataFrame:
@@ -317,7 +317,7 @@ def with_sets(texts: DataFrame, members: DataFrame, how: Near) -> DataFrame:
                 sets = [shingles(t, how, powers).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "cluster", "members", "sig")), pa.array(sets, pa.binary())], names=["node", "cluster", "members", "sig", "shingles"])
 
-    return joined.mapInArrow(run, "node long, cluster long, members long, sig binary, shingles binary")
+    return joined.mapInArrow(frugal(run), "node long, cluster long, members long, sig binary, shingles binary")
 
 
 def verified(members: DataFrame, how: Near) -> DataFrame:
@@ -353,7 +353,7 @@ def verified(members: DataFrame, how: Near) -> DataFrame:
                 root = node[label[some]]
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root, mask=root == node[some]), pa.array(links[some])], names=["u", "v", "links"])
 
-    return paired(members, "cluster", "members", how.cluster_block, "node").mapInArrow(run, "u long, v long, links long")
+    return paired(members, "cluster", "members", how.cluster_block, "node").mapInArrow(frugal(run), "u long, v long, links long")
 
 
 def near_classes(docs: DataFrame, how: Near | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

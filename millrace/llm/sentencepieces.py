@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import by_value
+from millrace.llm.common import by_value, frugal
 
 by_value(__name__)
 
@@ -150,7 +150,7 @@ def encode(df: DataFrame, codec: PieceCodec, text: str = "text", ids: str = "ids
                 flat = np.concatenate(found).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*keep, ids])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def decode(df: DataFrame, codec: PieceCodec, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -166,7 +166,7 @@ def decode(df: DataFrame, codec: PieceCodec, ids: str = "ids", text: str = "deco
                 found = [table.sp.decode(x or []) for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.string())], names=[*keep, text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def round_trip_digests(df: DataFrame, codec: PieceCodec, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,4 +189,4 @@ def round_trip_digests(df: DataFrame, codec: PieceCodec, key: str = "doc_id", te
                     decoded.append(hashlib.sha256(table.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(frugal(run), f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

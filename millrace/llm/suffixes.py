@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_KEY, by_value, durable, key_of, slices, utf8
+from millrace.llm.common import NULL_KEY, by_value, durable, frugal, key_of, slices, utf8
 
 by_value(__name__)
 
@@ -46,7 +46,9 @@ class Parsing:
 
     length: int = 100
     gram: int = 24
-    piece: int = 2 << 20
+    piece: int = 1 << 19
+    #: Phrases a task holds before it merges equal ones and passes them on.
+    held: int = 250_000
     #: Distinct phrases of one trigger beyond which its strings are spread out.
     spread: int = 2048
 
@@ -67,24 +69,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """Hash of every ``gram`` consecutive bytes, built up from those of powers of two."""
-    power, n, parts = data.astype(U) + U(1), 1, []
-    root, at = ROOT, 0
+    power, n, at = data.astype(U) + U(1), 1, 0
+    made = len(data) - gram + 1
+    out = np.zeros(made, U)
     while True:
+        root = U(pow(int(ROOT), n, 1 << 64))
         if gram & n:
-            parts.append((power, at, n))
+            out = out * root + power[at : at + made]
             at += n
         if n * 2 > gram:
-            break
+            return mixed(out)
         power = power[:-n] * root + power[n:]
-        n, root = n * 2, root * root
-    made = len(data) - gram + 1
-    out = np.zeros(made, U)
-    for power, at, n in parts:
-        scale = ROOT
-        for _ in range(n.bit_length() - 1):
-            scale = scale * scale
-        out = out * scale + power[at : at + made]
-    return mixed(out)
+        n *= 2
 
 
 def window_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -169,13 +165,13 @@ def parse(docs: DataFrame, how: Parsing) -> DataFrame:
                     shift = at - int(offsets[lo]) if hi == lo + 1 else 0
                     found.append((k[lo + text], h[lo + text], (start + shift) << SHIFT | count, trigger, phrase))
                     held += len(text)
-                    if held > 1_000_000:
+                    if held > how.held:
                         yield merged(found)
                         found, held = [], 0
         if held:
             yield merged(found)
 
-    return docs.select("k", "h", "text").mapInArrow(run, schema)
+    return docs.select("k", "h", "text").mapInArrow(frugal(run), schema)
 
 
 def settle(parsed: DataFrame, how: Parsing) -> DataFrame:
@@ -208,11 +204,11 @@ def packed(texts: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             view = memoryview(data)
-            for lo, hi in slices(offsets, 8 << 20):
+            for lo, hi in slices(offsets, 2 << 20):
                 small = [coder.compress(view[offsets[i] : offsets[i + 1]]) for i in range(lo, hi)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(small, pa.binary())], names=[*names, "data"])
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(frugal(run), schema)
 
 
 STRINGS = "route long, k long, h long, start long, count int, bytes binary"
@@ -256,7 +252,7 @@ def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["route", "k", "h", "start", "count", "bytes"])
                     rows = []
 
-    return texts.select("k", "h", "data", "open").mapInArrow(run, STRINGS)
+    return texts.select("k", "h", "data", "open").mapInArrow(frugal(run), STRINGS)
 
 
 def compare(route: np.ndarray, k: np.ndarray, start: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +326,7 @@ def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
         if rest:
             yield from found(pa.Table.from_batches(rest).combine_chunks().to_batches()[0])
 
-    return strings.repartition("route").sortWithinPartitions("route").mapInArrow(run, "k long, h long, start long, count int")
+    return strings.repartition("route").sortWithinPartitions("route").mapInArrow(frugal(run), "k long, h long, start long, count int")
 
 
 def repeats(texts: DataFrame, small: DataFrame, how: Parsing) -> DataFrame:
@@ -392,7 +388,7 @@ def remove_repeats(docs: DataFrame, how: Parsing | None = None, key: str = "doc_
                 yield pa.RecordBatch.from_arrays([part.column("k"), *(part.column(c) for c in names), pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), spans], names=["k", *names, "n_bytes", "kept", "removed"])
 
     schema = ", ".join(["k long", *(f"{n} {t}" for n, t in zip(names, kinds, strict=True)), "n_bytes long", "kept binary", "removed array<struct<start:long,length:long>>"])
-    out = found.select("k", *names, "data", "runs").mapInArrow(run, schema)
+    out = found.select("k", *names, "data", "runs").mapInArrow(frugal(run), schema)
     own = F.when(F.col("k") != NULL_KEY, F.col("k")).alias(key)
     return out.select(own, *[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_bytes", "kept", "removed")
 
@@ -407,7 +403,7 @@ def readable(df: DataFrame, data: str, text: str) -> DataFrame:
             read = [None if b is None else b.decode("utf-8", "ignore") for b in batch.column(data).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in keep), pa.array(read, pa.string())], names=[*(f.name for f in keep), text])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def digests(docs: DataFrame, how: Parsing | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

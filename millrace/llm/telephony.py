@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import by_value, slices, utf8
+from millrace.llm.common import by_value, frugal, slices, utf8
 
 by_value(__name__)
 
@@ -161,7 +161,7 @@ def store(df: DataFrame, payload: str = "text", media: str = "media", key: str =
                     made.append(b"".join((wav_header(MULAW, RATE, size, size), own, bytes(size - len(own)))))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(made, pa.binary())], names=[key, "n_bytes", media])
 
-    return df.select(key, payload).mapInArrow(run, f"`{key}` {kind}, n_bytes long, `{media}` binary")
+    return df.select(key, payload).mapInArrow(frugal(run), f"`{key}` {kind}, n_bytes long, `{media}` binary")
 
 
 def to_pcm(df: DataFrame, media: str = "media", out: str = "pcm") -> DataFrame:
@@ -183,7 +183,7 @@ def to_pcm(df: DataFrame, media: str = "media", out: str = "pcm") -> DataFrame:
                 part = batch.slice(i, 64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(map(wide, part.column(media).to_pylist()), pa.binary())], names=[*keep, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -229,4 +229,4 @@ def digests(stored: DataFrame, media: str = "media", key: str = "doc_id") -> Dat
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *columns], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select(key, "n_bytes", media).mapInArrow(run, schema)
+    return stored.select(key, "n_bytes", media).mapInArrow(frugal(run), schema)

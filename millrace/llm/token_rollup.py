@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_value
+from millrace.llm.common import by_value, frugal
 
 by_value(__name__)
 
@@ -121,7 +121,7 @@ def bpe(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", out: s
                 found = [len(encoding.encode_ordinary(t or "")) for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), pa.array(found, pa.int64())], names=[*(f.name for f in keep), out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def changes(rows: DataFrame, op: str, new: dict[str, Column] | None = None, old: dict[str, Column] | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_value
+from millrace.llm.common import by_value, frugal
 
 by_value(__name__)
 
@@ -76,7 +76,7 @@ class Grammar:
     def clause_weights(self, text: str | None) -> tuple[int, list[float]]:
         """Number of clauses with words, and the weight of each clause that the automaton accepts."""
         memo, out, clauses = self.memo, [], 0
-        if len(memo) > 300_000:
+        if len(memo) > 100_000:
             memo.clear()
         state, insult, some = 0, 0.0, False
         for word in TOKEN.findall((text or "").lower()):
@@ -147,11 +147,11 @@ def count_entries(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[int(label == 1)].update(entries(text))
-                if len(counts[0]) + len(counts[1]) > 500_000:
+                if len(counts[0]) + len(counts[1]) > 150_000:
                     yield flush()
         yield flush()
 
-    return labelled.mapInArrow(run, "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return labelled.mapInArrow(frugal(run), "entry string, toxic long, clean long").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -197,7 +197,7 @@ def fit(labelled: DataFrame, how: Fit | None = None) -> Grammar:
             x = [grammar.features(*grammar.clause_weights(t)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([v == 1 for v in batch.column(1).to_pylist()]), *(pa.array([r[k] for r in x], pa.float64()) for k in (1, 2, 3))], names=["y", "a", "b", "c"])
 
-    got = labelled.mapInArrow(run, "y boolean, a double, b double, c double").toPandas()
+    got = labelled.mapInArrow(frugal(run), "y boolean, a double, b double, c double").toPandas()
     x = np.column_stack([np.ones(len(got)), got[["a", "b", "c"]].to_numpy()])
     y = got["y"].to_numpy(float)
     curve = logistic(x, y, np.ones(len(y)), 0.1)
@@ -234,7 +234,7 @@ def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, key: str =
             said = [int(s >= threshold) for s in scores]
             yield pa.RecordBatch.from_arrays([keys, pa.array(held), pa.array(scores, pa.float64()), pa.array(said, pa.int32()), pa.array(clauses, pa.int64()), pa.array(matched, pa.int64())], names=[key, "held_out", "score", "predicted", "clauses", "matched"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int, clauses long, matched long")
+    return docs.select(key, text).mapInArrow(frugal(run), f"`{key}` {kind}, held_out boolean, score double, predicted int, clauses long, matched long")
 
 
 def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -247,7 +247,7 @@ def keep_clean(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, text:
             good = [grammar.score(t) < threshold for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays(batch.columns, names=names).filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, how: Fit | None = None, key: str = "doc_id") -> Grammar:
