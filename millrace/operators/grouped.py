@@ -64,6 +64,51 @@ def read_groups(batches: Iterable[pa.RecordBatch], grouping: list[str]) -> Itera
             here = waiting.pop() if waiting else None
 
 
+def _batches(rows: Iterable[Row], schema: pa.Schema, size: int) -> Iterator[pa.RecordBatch]:
+    held: list[Row] = []
+    for row in rows:
+        held.append(row)
+        if len(held) >= size:
+            yield pa.RecordBatch.from_pylist(held, schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=schema)
+
+
+def map_rows(df: DataFrame, mapper: Callable[[Iterator[Row]], Iterable[Row]], schema: str, out_batch: int = 10_000) -> DataFrame:
+    """Rows of ``schema`` from a Python mapper, which reads a task's rows as an iterator and may keep a state.
+
+    What a mapper gives must not depend on how rows are dealt out to tasks.
+    """
+    arrow = _arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _batches(mapper(row for batch in batches for row in batch.to_pylist()), arrow, out_batch)
+
+    return df.mapInArrow(run, schema)
+
+
+def combine(df: DataFrame, key: Key, merge: Callable[[Row, Row], Row], most_groups: int = 100_000) -> DataFrame:
+    """Rows of ``df``'s own columns, merged by key within tasks to shuffle fewer of them.
+
+    ``merge`` must be associative and commutative over rows of a key, so that a reducer gives the same with it as
+    without.  A task holds at most ``most_groups`` merged rows and passes them on when it has more.
+    """
+    grouping = key.grouping
+
+    def merged(rows: Iterator[Row]) -> Iterator[Row]:
+        held: dict[tuple, Row] = {}
+        for row in rows:
+            own = tuple(row[g] for g in grouping)
+            held[own] = merge(held[own], row) if own in held else row
+            if len(held) > most_groups:
+                yield from held.values()
+                held.clear()
+        yield from held.values()
+
+    return map_rows(key.keyed(df), merged, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+
+
 def reduce_sorted(df: DataFrame, key: Key, reducer: Reducer, schema: str, on_error: OnError = OnError.RETHROW, partitions: int | None = None, stage: str = "reduce", out_batch: int = 10_000) -> DataFrame:
     """Rows of ``schema`` that the reducer gives for each group.  No rows in, no rows out, also for an empty key."""
     grouping = key.grouping
@@ -91,22 +136,15 @@ def reduce_sorted(df: DataFrame, key: Key, reducer: Reducer, schema: str, on_err
                 else:
                     raise GroupError(f"{stage}: key {group_key!r}: {e}") from e
 
-    arrow = _arrow_schema(df, schema)
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Row] = []
-        for row in results(batches):
-            held.append(row)
-            if len(held) >= out_batch:
-                yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=arrow)
+        yield from _batches(results(batches), arrow, out_batch)
 
     return rows.mapInArrow(run, schema)
 
 
-def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

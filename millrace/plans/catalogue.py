@@ -108,6 +108,29 @@ def combiner_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (reduce_by("parts", ["l_returnflag", "part"], add, F.col("l_quantity").cast("long"), out="qty") >> reduce_by("whole", ["l_returnflag"], add, F.col("qty"), out="qty"))(rows)
 
 
+@query("SELECT event_id, event_type || ':' || CAST(part AS VARCHAR) AS part FROM (SELECT event_id, event_type, unnest([1, 2]) AS part FROM events) WHERE event_id % 3 <> 0")
+def python_mapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def twice(rows):
+        for row in rows:
+            if row["event_id"] % 3:
+                yield from ({"event_id": row["event_id"], "part": f"{row['event_type']}:{n}"} for n in (1, 2))
+
+    return grouped.map_rows(table(spark, sf_dir, "events").select("event_id", "event_type"), twice, "event_id long, part string")
+
+
+@query("SELECT user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def python_combiner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def merge(a: dict, b: dict) -> dict:
+        return {"user_id": a["user_id"], "cents": a["cents"] + b["cents"], "n": a["n"] + b["n"]}
+
+    def total(user: tuple, rows):
+        found = list(rows)
+        yield {"user_id": user[0], "cents": sum(r["cents"] for r in found), "n": sum(r["n"] for r in found)}
+
+    rows = table(spark, sf_dir, "events").select("user_id", cents("value").alias("cents"), F.lit(1).cast("long").alias("n"))
+    return grouped.reduce_sorted(grouped.combine(rows, key("user_id"), merge), key("user_id"), total, "user_id long, cents long, n long")
+
+
 @query("SELECT count(*) AS n FROM lineitem WHERE l_quantity < 0 HAVING count(*) > 0")
 def empty_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A constant key over no rows gives no row."""

@@ -9,9 +9,10 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.operators import monoids
-from millrace.operators.grouped import GroupError, OnError, reduce_sorted
+from millrace.operators.grouped import GroupError, OnError, combine, map_rows, reduce_sorted
 from millrace.operators.joins import Input, inner_merge, last_of, monoid_join, optional, required
 from millrace.operators.keys import int_key, key, numeric, packed_key, segments_of, time_of_key, utc_key
+from millrace.plans import session
 from millrace.operators.stage import aggregate, combiner_agrees, first_by, fold, map_only, reduce_by, tee_first
 
 
@@ -148,6 +149,19 @@ def test_reducer_errors(spark):
     assert sorted(r["n"] for r in reduce_sorted(df, key("g"), once_bad, "n int", OnError.RETRY).collect()) == [1, 2]
 
 
+def test_combiner_passes_on_what_it_cannot_hold(spark):
+    df = spark.createDataFrame([(i % 7, 1) for i in range(100)] + [(None, 1)], "g int, n int")
+    merge = lambda a, b: {"g": a["g"], "n": a["n"] + b["n"]}
+    for most in (1, 1000):
+        got = combine(df, key("g"), merge, most).groupBy("g").sum("n").collect()
+        assert {r["g"]: r["sum(n)"] for r in got} == {g: len(range(g, 100, 7)) for g in range(7)}
+    assert map_rows(df, lambda rows: ({"n": 1} for _ in rows), "n int", out_batch=3).count() == 101
+
+
+def test_sessions(spark):
+    assert session.local("tests").conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+
+
 def test_empty_inputs(spark):
     df = spark.createDataFrame([], "g string, n long")
     assert aggregate("all", [], {"n": F.count(F.lit(1))})(df).count() == 0
