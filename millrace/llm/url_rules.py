@@ -154,5 +154,6 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, min
         return rows.select(*out, F.coalesce("verdict", F.lit(ALLOW)).alias("verdict"))
     rows = rows.withColumn("items", F.when(F.col("verdict").isNull() & (F.col("host") != ""), tokens(F.col("u"), F.col("host"), F.col("path"))))
     rows = rows.withColumn("same", F.md5(F.array_join("items", "\n")))
-    mined = match(rows.filter(F.col("items").isNotNull()), index, spread)
+    # Written, so that both sides of the join are dealt by it alone and a very common set of tokens can be split.
+    mined = durable(match(rows.filter(F.col("items").isNotNull()), index, spread), "url-verdicts")
     return rows.drop("items").join(mined, "same", "left").select(*out, F.coalesce("verdict", "mined", F.lit(ALLOW)).alias("verdict"))
