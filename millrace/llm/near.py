@@ -41,8 +41,8 @@ class Near:
     step: int = 16
     tolerance: float = 1e-6
     #: Classes in a block of a bucket and of a cluster.
-    bucket_block: int = 1024
-    cluster_block: int = 256
+    bucket_block: int = 512
+    cluster_block: int = 128
     seed: int = 20260101
 
     @property
@@ -238,12 +238,13 @@ def signed(docs: DataFrame, how: Near) -> DataFrame:
 def classes(rows: DataFrame) -> DataFrame:
     """Classes of equal shingle sets: ``a, b, node, k, h, copies, sig``, by their smallest member ``k, h``.
 
-    ``node`` is ``k``, or a negative number made of the set's hash if ``k`` also stands for another class, which can
-    only be where rows share a key.
+    ``node`` is ``k``, or a negative number made of the set's hash if ``k`` is null or also stands for another class,
+    which can only be where rows share a key.
     """
     one = rows.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("k", "h")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-    turn = F.row_number().over(Window.partitionBy("least.k").orderBy("a", "b"))
-    node = F.when(turn == 1, F.col("least.k")).otherwise(F.lit(-2) - F.shiftrightunsigned("a", 1))
+    unknown = F.col("least.k") == NULL_KEY
+    turn = F.row_number().over(Window.partitionBy("least.k", F.when(unknown, F.col("a"))).orderBy("a", "b"))
+    node = F.when((turn == 1) & ~unknown, F.col("least.k")).otherwise(F.lit(-2) - F.shiftrightunsigned("a", 1))
     return one.select("a", "b", node.alias("node"), "least.k", "least.h", "copies", "sig")
 
 
@@ -357,7 +358,8 @@ def verified(members: DataFrame, how: Near) -> DataFrame:
 
 
 def near_classes(docs: DataFrame, how: Near | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, class_id, rep_id, n_copies, n_links`` for every row of ``docs``, and ``k, h`` to tell its text.
+    """``key, class_id, rep_id, n_copies, n_links`` for every row of ``docs``; ``k, h`` that tell its text, and
+    ``class_k, class_h`` that tell the text which stands for its class.
 
     ``rep_id``: smallest key among rows of the same shingle set; ``n_copies``: their number; ``n_links``: how many
     other shingle sets are similar to it by ``threshold`` or more; ``class_id``: smallest ``rep_id`` reachable by links.
@@ -376,8 +378,9 @@ def near_classes(docs: DataFrame, how: Near | None = None, key: str = "doc_id",
     checked = durable(verified(with_sets(texts, members, how), how), "near-links")
     links = checked.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     ends = components(checked.filter("v is not null").select("u", "v"), "near-ends")
+    ends = ends.join(found.select(F.col("node").alias("root"), F.col("k").alias("class_k"), F.col("h").alias("class_h")), "root").drop("root")
     about = durable(
-        found.select("a", "b", "node", F.col("k").alias("rep"), "copies").join(links, "node", "left").join(ends, "node", "left").drop("node"),
+        found.select("a", "b", "node", F.col("k").alias("rep"), F.col("h").alias("rep_h"), "copies").join(links, "node", "left").join(ends, "node", "left").drop("node"),
         "near-about",
     )
     whole = rows.select("k", "h", "a", "b").join(about, ["a", "b"], "left")
@@ -385,10 +388,12 @@ def near_classes(docs: DataFrame, how: Near | None = None, key: str = "doc_id",
     rep = F.coalesce("rep", "k")
     return whole.select(
         own(F.col("k")).alias(key),
-        own(F.coalesce("root", rep)).alias("class_id"),
+        own(F.coalesce("class_k", rep)).alias("class_id"),
         own(rep).alias("rep_id"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         "k",
         "h",
+        F.coalesce("class_k", rep).alias("class_k"),
+        F.coalesce("class_h", "rep_h", "h").alias("class_h"),
     )

@@ -83,7 +83,7 @@ def _rollup(spark: SparkSession, counts: DataFrame, versions: dict[str, str], re
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.near import near_classes
 
-    return near_classes(table(spark, sf_dir, "documents")).drop("k", "h")
+    return near_classes(table(spark, sf_dir, "documents")).drop("k", "h", "class_k", "class_h")
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
