@@ -130,7 +130,8 @@ def phrases(data: np.ndarray, offsets: np.ndarray, how: Parsing) -> tuple[np.nda
 def parse(docs: DataFrame, how: Parsing) -> DataFrame:
     """Phrases of rows of ``k, h, text`` (key, what tells apart rows of equal key, text), equal ones of a task merged.
 
-    ``trigger, phrase``: their hashes; ``k, h, spot``: the first of them; ``later``: the others.  A ``spot`` is the
+    ``trigger, phrase``: their hashes; ``k, h, spot``: the first of them.  Rows with a list ``later`` instead carry those
+    that repeat another of their task; their trigger is no phrase's.  A ``spot`` is the
     phrase's start, shifted by ``SHIFT`` bits, and its number of starts: rows of few columns shuffle in fewer bytes.
     """
     schema = "trigger long, phrase long, k long, h long, spot long, later array<struct<k:long,h:long,spot:long>>"
@@ -144,10 +145,16 @@ def parse(docs: DataFrame, how: Parsing) -> DataFrame:
         head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
         first |= (k == k[head]) & (spot == spot[head])  # rows that share a key don't come after each other
         heads, rest = np.flatnonzero(first), np.flatnonzero(~first)
-        ends = np.zeros(len(heads) + 1, np.int32)
-        ends[1:] = np.cumsum(np.diff(np.append(heads, len(k))) - 1)
+        # What repeats within the task is settled: it goes along in rows of up to 64, with a trigger of their own, so
+        # that all the copies of a passage don't meet in one task.
+        cuts = np.arange(0, len(rest), 64)
+        carried = rest[cuts]
+        carrier = mixed(mixed(k[carried].view(U)) + spot[carried].view(U))
+        ends = np.concatenate([np.zeros(len(heads), np.int32), cuts, [len(rest)]]).astype(np.int32)
         later = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[rest]) for x in (k, h, spot)], ["k", "h", "spot"]))
-        columns = [pa.array(x[heads]) for x in (trigger.view(np.int64), phrase.view(np.int64), k, h, spot)]
+        rows = np.concatenate([heads, carried])
+        trigger, phrase = np.concatenate([trigger[heads], carrier]), np.concatenate([phrase[heads], np.zeros(len(cuts), U)])
+        columns = [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), *(pa.array(x[rows]) for x in (k, h, spot))]
         return pa.RecordBatch.from_arrays([*columns, later], names=["trigger", "phrase", "k", "h", "spot", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,7 +254,7 @@ def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
                                 seen[string] = (int(k[i]), a)
                             rows.append((int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True), int(k[i]), int(h[i]), a, 1, string))
                         else:
-                            rows.append((int(h[i]), int(k[i]), int(h[i]), a, 1, None))
+                            rows.append((int(k[i]), int(k[i]), int(h[i]), a, 1, None))
                 if len(rows) > 20_000 or rows and i == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["route", "k", "h", "start", "count", "bytes"])
                     rows = []
