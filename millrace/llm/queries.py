@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import durable, key_of, shared_dir, table
 from millrace.llm.license_sql import license_sql
 from millrace.llm.licenses import LicenseIndex
+from millrace.llm.oracles import near_sql, repeats_sql
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +141,8 @@ _LETTERS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5
 
 ORACLE_SQL: dict[str, str] = {
     "op3_licenses": license_sql(LicenseIndex()),
+    "op5_jaccard": near_sql(),
+    "op7_suffixes": repeats_sql(),
     "token_rollup_words": f"""
         SELECT source, lang, 'words-2' AS version, CAST(count(*) AS BIGINT) AS docs, CAST(sum({_LETTERS}) AS BIGINT) AS tokens
         FROM documents AS d
