@@ -151,6 +151,12 @@ def filtered(inner: Codec, condition: Column) -> Codec:
     return replace(inner, decode=lambda df: keep(inner.decode(df)), encode=lambda df: inner.encode(keep(df)))
 
 
+def as_long(text: Column) -> Column:
+    """An integer in decimal text, else null.  ``try_cast`` raises and catches an error for every other text, which is
+    slow; only texts of digits get to it."""
+    return F.when(text.rlike(r"^\s*[+-]?[0-9]{1,18}\s*$"), text.cast("long")).when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), text.try_cast("long"))
+
+
 def either(left: Callable[[Column], Column], right: Callable[[Column], Column], column: str = "value", on_bad: OnBad = OnBad.FAIL) -> Codec:
     """Text read by one decoder or else by another: ``tag`` (left or right), ``left`` and ``right``."""
 

@@ -324,7 +324,7 @@ def filter_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT tag, count(*) AS n FROM (SELECT CASE WHEN try_cast(v AS BIGINT) IS NOT NULL THEN 'left' ELSE 'right' END AS tag FROM (SELECT unnest([CAST(event_id AS VARCHAR), event_type]) AS v FROM events)) GROUP BY tag")
 def either_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codec = codecs.either(lambda c: c.try_cast("long"), lambda c: c)
+    codec = codecs.either(codecs.as_long, lambda c: c)
     mixed = table(spark, sf_dir, "events").select(F.explode(F.array(F.col("event_id").cast("string"), "event_type")).alias("value"))
     return aggregate("tags", ["tag"], {"n": counted()})(codec.decode(mixed))
 

@@ -51,6 +51,8 @@ def test_structs_either_and_filter(spark, tmp_path):
     packed = codecs.base64_struct("a int, b string")
     df = spark.createDataFrame([((1, "x"),)], "value struct<a:int,b:string>")
     assert codecs.base64_struct("a int, b string, c int").decode(packed.encode(df)).collect()[0]["value"].asDict() == {"a": 1, "b": "x", "c": None}
+    numbers = spark.createDataFrame([("12",), (" -3 ",), ("9" * 30,), ("x",), ("1.5",), (None,), ("9223372036854775807",)], "v string")
+    assert [r[0] for r in numbers.select(codecs.as_long(F.col("v"))).collect()] == [12, -3, None, None, None, None, 2**63 - 1]
     both = codecs.either(lambda c: c.try_cast("int"), lambda c: F.when(c.startswith("t"), c), on_bad=codecs.OnBad.DROP)
     rows = both.decode(spark.createDataFrame([("1",), ("t",), ("?",)], "value string")).collect()
     assert [(r["tag"], r["left"], r["right"]) for r in rows] == [("left", 1, None), ("right", None, "t")]
