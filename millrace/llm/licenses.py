@@ -1,11 +1,12 @@
 """License scans by a positional index of rare licence words.
 
 Templates are short licence notices.  Their words that aren't common English form a vocabulary, and every place of
-such a word in a template is a posting.  A file's licence words of highest inverse document frequency are looked up;
-each hit says where the template would have to begin, and hits that agree on that place add up.  A template is found
-where enough of its words agree and all its mandatory key phrases stand at their places.
+such a word in a template is a posting.  All licence words of a file that holds a key phrase are looked up, so that no
+template's words compete with those of others or of the rest of the file; each hit says where the template would have
+to begin, and hits that agree on that place add up.  A template is found where enough of its words agree and all its
+mandatory key phrases stand at their places.
 
-DataFrame functions only.  Of a text, one pass keeps the places of licence words; frequencies come from all files.
+DataFrame functions only.  Of a text, one pass keeps the places of licence words.
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ def places(phrase: str, text: str) -> list[int]:
 
 @dataclass(frozen=True)
 class LicenseIndex:
-    """The templates' postings.  ``look_up`` is how many of a file's rarest licence words are looked up; a template
-    is found if ``least`` of the share of its words that could be looked up agree on its place."""
+    """The templates' postings.  A template is found if enough of its licence words agree on its place, whichever
+    they are: ``least`` of as many as it has different ones, or of ``look_up`` where it has more."""
 
     templates: tuple[Template, ...] = TEMPLATES
     look_up: int = 8
@@ -142,14 +143,9 @@ def scan(docs: DataFrame, index: LicenseIndex | None = None, key: str = "doc_id"
     spark = docs.sparkSession
     kept = durable(marked(docs, index, key, text), "license-marks")
 
-    # As many rows as the vocabulary has words, whatever the input.
-    seen = {r["w"]: r["n"] for r in kept.select(F.explode("hits").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rarest_first = sorted(index.vocabulary(), key=lambda w: (seen.get(w, 0), w))
-    order = F.array(*[F.lit(w) for w in rarest_first])
-    # By falling inverse document frequency, so that a file's rarest words come first.
-    rarest = F.slice(F.array_intersect(order, F.col("hits")), 1, index.look_up)
-
-    tokens = kept.filter(F.size("hits") > 0).select("same", F.explode(F.concat(F.filter("marks", lambda m: F.array_contains(rarest, m["w"])), F.col("keys"))).alias("m"))
+    # Without a key phrase only templates that need none can be found.
+    candidates = kept.filter(F.size("keys" if all(t.phrases for t in index.templates) else "hits") > 0)
+    tokens = candidates.select("same", F.explode(F.concat("marks", "keys")).alias("m"))
     postings = spark.createDataFrame(index.postings(), "token string, template int, place int, word long, phrase long")
     aligned = (
         tokens.join(F.broadcast(postings), F.col("m.w") == F.col("token"))

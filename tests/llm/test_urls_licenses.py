@@ -108,6 +108,19 @@ def test_method_labels(documents):
     assert scan(documents([])).count() == 0
 
 
+def test_no_notice_hides_another(documents):
+    """Three notices in full, with 11 different words; and one in a long text full of rarer licence words."""
+    whole = {t.label: t.text for t in LicenseIndex().templates if t.label in ("bsd", "mit") and len(t.text.split()) > 10}
+    three = f"{whole['bsd']} ... {whole['mit']} ... Licensed under the Apache License, Version 2.0"
+    noise = " ".join(sorted(set(LicenseIndex().vocabulary()) - {"license", "released", "mit"}))
+    noisy = "word " * 5000 + noise + " x Released under the MIT License. y " + noise
+    common = [(100 + i, "released license mit") for i in range(20)]
+    got = {r["doc_id"]: r for r in scan(documents([(1, three), (2, noisy), *common])).collect()}
+    assert got[1]["labels"] == "apache,bsd,mit" and got[1]["score"] == 1.0
+    assert got[2]["labels"] == "mit" and got[2]["score"] == 1.0
+    assert all(got[i]["labels"] == "" and got[i]["score"] == 0.0 for i, _ in common)
+
+
 def test_templates_need_their_phrases():
     with pytest.raises(ValueError):
         LicenseIndex(templates=(Template("x", "one two", ("three",)),))
