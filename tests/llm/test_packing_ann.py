@@ -136,6 +136,37 @@ def test_all_lists_visited_gives_all_neighbours(spark):
         assert [v for v, _ in got[q]] == [v for v, _ in held] or np.allclose([s for _, s in got[q]], [s for _, s in held])
 
 
+def test_ties_at_the_cut_go_to_smaller_ids(spark):
+    """3000 copies of one vector, far more than are reranked, in blocks that also hold others; and a key given 50 times."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-3, 4, size=(4000, 16)).astype(float)  # whole numbers, so that scores are exact
+    ids = rng.permutation(4000)
+    x[:3000] = 9.0
+    low = int(ids[:3000].min() + 20) // 20 * 20
+    again = [(low, [9.0] * 16)] * 50
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True) if i != low] + again, "vec_id long, embedding array<float>")
+    got = found(search(df, how=AnnSettings(aim=1.0)).filter("query_id % 100 = 0 or query_id = " + str(low)))
+    rest = ids != low
+    all_ids = np.concatenate([ids[rest], np.full(50, low)])
+    all_x = np.concatenate([x[rest], np.full((50, 16), 9.0)])
+    hot = set(all_ids[(all_x == 9.0).all(axis=1)].tolist())
+    asked = [q for q in got if q in hot]
+    assert len(asked) > 10 and low in asked
+    for q in asked:
+        score = all_x @ all_x[np.flatnonzero(all_ids == q)[0]]
+        order = [j for j in np.lexsort((all_ids, -score)) if all_ids[j] != q][:20]
+        assert got[q] == [(int(all_ids[j]), float(score[j])) for j in order]
+
+
+def test_equal_codes_of_unequal_vectors_are_all_reranked(spark):
+    """One codebook entry for each group, so that all of a list tie: exact scores decide."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-9, 10, size=(3000, 8)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = found(search(df, every=100, how=AnnSettings(aim=1.0, codes=1, most_lists=2, groups=4)))
+    assert got == brute(np.arange(3000), x, 20, 100)
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [1.0, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [1.0, None]), (7, []), (8, [1.0]), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (40, [0.0, 0.0])]
