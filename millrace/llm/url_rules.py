@@ -24,12 +24,11 @@ BLOCK, ALLOW = "block", "allow"
 
 @dataclass(frozen=True)
 class Mining:
-    """``fit_rows`` bounds the labelled URLs that FP-growth sees, drawn by a hash of the URL; all if there are fewer."""
+    """FP-growth sees all labelled URLs, so supports and confidences are those of the pages."""
 
     min_support: float = 0.01
     min_confidence: float = 0.8
     max_tokens: int = 3
-    fit_rows: int = 500_000
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -85,13 +84,8 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     """
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "items array<string>, says string, confidence double")
-    sizes = labelled.groupBy("label").count().collect()  # two labels
-    total = sum(r["count"] for r in sizes)
-    if len(sizes) < 2:
+    if labelled.select("label").distinct().count() < 2:
         return empty
-    share = mining.fit_rows / total
-    if share < 1:
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.concat_ws(" ", "items")), F.lit(1 << 20)) < int(share * (1 << 20)))
     transactions = labelled.select(F.concat("items", F.array(F.concat(F.lit("label:"), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence).fit(transactions)
     frequent = model.freqItemsets
