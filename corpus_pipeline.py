@@ -25,13 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 or more, the one of smallest key.
 
-    Rows that share a key and a text are one document; rows without a key come before all others.
+    Rows that share a key and a text are one document, and one of them stays; rows without a key come before all others.
     """
     classes = near.near_classes(docs.select("doc_id", "text"))
     stays = durable(classes.filter((F.col("k") == F.col("class_k")) & (F.col("h") == F.col("class_h"))).select("k", "h").distinct(), "near-stays")
     told = docs.select(*COLUMNS, key_of("doc_id").alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    kept = told.join(stays, ["k", "h"], "left_semi").select(*COLUMNS)
-    return kept
+    kept = told.join(stays, ["k", "h"], "left_semi")
+    # Which of them stays doesn't depend on the order of rows; a task keeps one before any are brought together.
+    one = kept.groupBy("k", "h").agg(F.min(F.struct(*COLUMNS)).alias("one"))
+    return one.select(*[F.col(f"one.{c}").alias(c) for c in COLUMNS])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -127,6 +127,11 @@ def phrases(data: np.ndarray, offsets: np.ndarray, how: Parsing) -> tuple[np.nda
     return text[begin], begin - offsets[text[begin]], count, hashes[trigger], mixed(whole + count.astype(U))
 
 
+def own_order(k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """What orders rows of equal key: rows without a key come by their texts' hashes, others are one place."""
+    return np.where(k == NULL_KEY, h, 0)
+
+
 def parse(docs: DataFrame, how: Parsing) -> DataFrame:
     """Phrases of rows of ``k, h, text`` (key, what tells apart rows of equal key, text), equal ones of a task merged.
 
@@ -138,12 +143,13 @@ def parse(docs: DataFrame, how: Parsing) -> DataFrame:
 
     def merged(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         k, h, spot, trigger, phrase = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((spot, k, phrase, trigger))
+        order = np.lexsort((spot, own_order(k, h), k, phrase, trigger))
         k, h, spot, trigger, phrase = (x[order] for x in (k, h, spot, trigger, phrase))
         first = np.ones(len(k), bool)
         first[1:] = (trigger[1:] != trigger[:-1]) | (phrase[1:] != phrase[:-1])
         head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
-        first |= (k == k[head]) & (spot == spot[head])  # rows that share a key don't come after each other
+        own = own_order(k, h)
+        first |= (k == k[head]) & (own == own[head]) & (spot == spot[head])  # rows that share a key don't come after each other
         heads, rest = np.flatnonzero(first), np.flatnonzero(~first)
         # What repeats within the task is settled: it goes along in rows of up to 64, with a trigger of their own, so
         # that all the copies of a passage don't meet in one task.
@@ -185,8 +191,9 @@ def settle(parsed: DataFrame, how: Parsing) -> DataFrame:
     """The parse: of each phrase, whether it repeats an earlier one whole (``open`` 0) or is a dictionary phrase whose
     strings must be compared (1; 2 where its trigger has very many phrases).  All others can't repeat and are gone."""
     same = Window.partitionBy("trigger", "phrase")
-    place = F.struct("k", "spot")
-    one = parsed.repartition("trigger").withColumn("first", F.min(place).over(same)).withColumn("head", F.row_number().over(same.orderBy("k", "spot", "h")) == 1)
+    own = F.when(F.col("k") == NULL_KEY, F.col("h")).otherwise(F.lit(0).cast("long")).alias("own")  # as own_order
+    place = F.struct("k", own, "spot")
+    one = parsed.repartition("trigger").withColumn("first", F.min(place).over(same)).withColumn("head", F.row_number().over(same.orderBy("k", own, "spot", "h")) == 1)
     one = one.withColumn("distinct", F.sum(F.col("head").cast("int")).over(Window.partitionBy("trigger")))
     state = F.when(place > F.col("first"), 0).when(F.col("distinct") > how.spread, 2).when(F.col("distinct") > 1, 1)
     return one.select("trigger", "k", "h", "spot", "later", state.alias("open")).filter(F.col("open").isNotNull() | (F.size("later") > 0))
@@ -229,11 +236,12 @@ def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: dict[bytes, tuple[int, int, int]] = {}
 
         coder = zstandard.ZstdDecompressor()
         for batch in batches:
             k, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = own_order(k, h)
             phrase = batch.column(3).flatten()
             ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))])
             spot, trigger, wide = (phrase.field(i).to_numpy(zero_copy_only=False) for i in range(3))
@@ -248,10 +256,10 @@ def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
                         continue
                     for a in range(at, at + int(count[j])):
                         string = own[a : a + how.length]
-                        before = seen.get(string)
-                        if before is None or before >= (int(k[i]), a):
+                        before, here = seen.get(string), (int(k[i]), int(order[i]), a)
+                        if before is None or before >= here:
                             if len(seen) < 200_000:
-                                seen[string] = (int(k[i]), a)
+                                seen[string] = here
                             rows.append((int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True), int(k[i]), int(h[i]), a, 1, string))
                         else:
                             rows.append((int(k[i]), int(k[i]), int(h[i]), a, 1, None))
@@ -300,6 +308,11 @@ def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
                 return
             route, k, h, start, count = (x.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             data, offsets = utf8(x.column("bytes"))
+            # Corpus order of the rows.
+            own = own_order(k, h)
+            order = np.lexsort((own, k))
+            rank = np.zeros(len(k), np.int64)
+            rank[order[1:]] = np.cumsum((k[order[1:]] != k[order[:-1]]) | (own[order[1:]] != own[order[:-1]]))
             # About 100,000 suffixes at once, in whole routes.
             turn = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
             sums = np.concatenate([[0], np.cumsum(count)])
@@ -308,7 +321,7 @@ def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                owner, inner = compare(route[lo:hi], k[lo:hi], start[lo:hi], count[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], how.length)
+                owner, inner = compare(route[lo:hi], rank[lo:hi], start[lo:hi], count[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], how.length)
                 if not len(owner):
                     continue
                 owner, at = owner + lo, start[owner + lo] + inner
@@ -352,8 +365,9 @@ def remove_repeats(docs: DataFrame, how: Parsing | None = None, key: str = "doc_
     """Every row of ``docs`` with ``n_bytes``, ``kept binary`` and ``removed``, a list of ``start, length`` in bytes.
 
     A byte goes if a string of ``how.length`` bytes over it also starts earlier: under a smaller key, or earlier under
-    the same key.  A null key is smaller than all others; rows that share a key are one place, and don't repeat each
-    other where they start alike.  Null texts count as empty.  ``keep`` names columns to carry along.
+    the same key.  A null key is smaller than all others, and rows without a key come in the order of a hash of their
+    texts; rows that share a key, or have no key and equal texts, are one place, and don't repeat each other where they
+    start alike.  Null texts count as empty.  ``keep`` names columns to carry along.
     """
     how = how or Parsing()
     # Only where rows share a key need a hash of the text tell them apart; elsewhere it would be shuffled for nothing.

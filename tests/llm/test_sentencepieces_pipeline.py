@@ -107,5 +107,20 @@ def test_stages_take_odd_rows(spark, documents, odd_rows):
         assert empty.count() == 0
 
 
+def test_one_of_exact_copies_stays_whatever_its_key(spark, documents):
+    """Copies without a key, repeated rows, and texts without a key that share a passage."""
+    draw = random.Random(3)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(300))
+    heads = [" ".join("".join(draw.choice("pqrstuvw") for _ in range(5)) for _ in range(400)) for _ in range(3)]
+    texts = [passage + h for h in heads]
+    rows = [(None, "all alone " + heads[0][::-1])] * 30 + [(5, "again and again " + heads[1][::-1])] * 30 + [(None, t) for t in texts] + [(None, None), (None, ""), (9, None)]
+    stages = dict(corpus_pipeline.STAGES)
+    second = stages["n-gram Jaccard join"](spark, documents(rows), SF)
+    got = sorted(((r["doc_id"], r["text"] or "") for r in second.collect()), key=str)
+    assert got == sorted({(i, t or "") for i, t in rows}, key=str)
+    third = stages["suffix-array dedup"](spark, second, SF)
+    assert sum(passage in r["text"] for r in third.collect()) == 1
+
+
 def test_registered_queries():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
