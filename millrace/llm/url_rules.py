@@ -8,6 +8,7 @@ a URL's tokens are looked up there and candidates verified in full.  DataFrame a
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -28,7 +29,6 @@ class Mining:
 
     min_support: float = 0.01
     min_confidence: float = 0.8
-    max_tokens: int = 3
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -90,21 +90,31 @@ def mine(labelled: DataFrame, mining: Mining) -> DataFrame:
     model = FPGrowth(itemsCol="items", minSupport=mining.min_support, minConfidence=mining.min_confidence).fit(transactions)
     frequent = model.freqItemsets
     is_label = lambda t: t.startswith("label:")
-    with_label = frequent.filter(F.exists("items", is_label) & (F.size("items") <= mining.max_tokens + 1))
+    with_label = frequent.filter(F.exists("items", is_label))
     with_label = with_label.select(F.sort_array(F.filter("items", lambda t: ~is_label(t))).alias("items"), F.substring(F.filter("items", is_label)[0], 7, 99).alias("says"), F.col("freq").alias("both"))
     alone = frequent.filter(~F.exists("items", is_label)).select(F.sort_array("items").alias("items"), "freq")
     sure = with_label.join(alone, "items").select("items", "says", (F.col("both") / F.col("freq")).alias("confidence")).filter(F.col("confidence") >= mining.min_confidence)
     return sure.filter(F.size("items") > 0)
 
 
-def pruned(rules: list[tuple[tuple[str, ...], str, float]]) -> list[tuple[tuple[str, ...], str, float]]:
+Rule = tuple[tuple[str, ...], str, float]
+
+
+def pruned(rules: list[Rule]) -> list[Rule]:
     """Rules that no shorter rule over part of their tokens, with the same conclusion, is as sure as."""
-    kept: dict[tuple[str, ...], dict[str, float]] = {}
-    for items, says, confidence in sorted(rules, key=lambda r: (len(r[0]), r[0], r[1])):
-        parts = [tuple(x for k, x in enumerate(items) if bits >> k & 1) for bits in range(1, (1 << len(items)) - 1)]
-        if not any(kept.get(p, {}).get(says, 0) >= confidence for p in parts):
-            kept.setdefault(items, {})[says] = confidence
-    return [(items, says, c) for items, by in kept.items() for says, c in by.items()]
+    return pruned_in_order(sorted(rules, key=lambda r: (len(r[0]), r[0], r[1])))
+
+
+def pruned_in_order(rules: Iterable[Rule]) -> list[Rule]:
+    """``pruned`` of rules that come shorter ones first; holds only what it keeps, filed under the first token."""
+    kept: list[Rule] = []
+    filed: dict[tuple[str, str], list[tuple[frozenset[str], float]]] = {}
+    for items, says, confidence in rules:
+        has = frozenset(items)
+        if not any(c >= confidence and part < has for t in items for part, c in filed.get((t, says), ())):
+            kept.append((items, says, confidence))
+            filed.setdefault((items[0], says), []).append((has, confidence))
+    return kept
 
 
 def match(urls: DataFrame, rules: DataFrame, frequency: dict[str, int]) -> DataFrame:
@@ -125,8 +135,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, min
     """``key, host, path, rule, verdict`` for every row.
 
     What the rules block is the positive label, every other URL the negative one, so a mined rule's confidence is the
-    share of all URLs with its tokens that the rules block.  Where no rule fits, a URL is blocked if a mined rule fits
-    and else allowed.  Null and malformed URLs have an empty host and path and are allowed.  Repeated rows stay repeated; equal
+    share of all URLs with its tokens that the rules block, or don't.  Where no rule fits, the surest mined rule that
+    fits decides, and without one a URL is allowed.  Null and malformed URLs have an empty host and path and are allowed.  Repeated rows stay repeated; equal
     confidence goes to the longer rule, then to block.  Other columns aren't read.
     """
     spark = pages.sparkSession
@@ -136,9 +146,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, min
     rule, verdict = first_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("k", "u", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
     labelled = rows.filter(F.col("host") != "").select(tokens(F.col("u"), F.col("host"), F.col("path")).alias("items"), F.coalesce("verdict", F.lit(ALLOW)).alias("label"))
-    found = durable(mine(labelled, mining).filter(F.col("says") == BLOCK), "url-rules")
-    # Their number is bounded by min_support: at most 1 / min_support frequent tokens at each place in a URL.
-    kept = pruned([(tuple(r["items"]), r["says"], r["confidence"]) for r in found.collect()])
+    found = durable(mine(labelled, mining), "url-rules")
+    # Without a rule that blocks, those that allow change nothing.  Rules come one by one, as only some of them stay.
+    some = found.filter(F.col("says") == BLOCK).limit(1).count()
+    kept = pruned_in_order((tuple(r["items"]), r["says"], r["confidence"]) for r in found.orderBy(F.size("items"), "items", "says").toLocalIterator()) if some else []
     schema = "items array<string>, says string, confidence double"
     vocabulary = {t for items, _, _ in kept for t in items}
     spread = {t: sum(t in items for items, _, _ in kept) for t in vocabulary}

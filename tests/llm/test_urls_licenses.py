@@ -45,6 +45,20 @@ def test_mined_rules_block_what_the_rules_do_not_reach(spark):
     assert got[201]["verdict"] == "allow" and got[1]["rule"] == "com/en/"
 
 
+def test_surer_rules_that_allow_and_rules_of_many_tokens(spark):
+    """A site that is mostly blocked has a part that never is; and only four tokens together tell what is blocked."""
+    schema = "page_id long, url string"
+    rows = [(i, f"http://s{i}.bad.com/en/{i}") for i in range(90)] + [(100 + i, f"http://s{i}.bad.com/fr/{i}/about") for i in range(10)] + [(200 + i, f"http://s{i}.good.com/fr/{i}") for i in range(60)]
+    rows += [(500, "http://n.bad.com/xx/1")]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, schema), mining=Mining(min_support=0.04)).collect()}
+    assert got[100] == "allow" and got[500] == "block" and got[200] == "allow"
+
+    rows = [(i, "http://h.com/en/?a&b&c&d") for i in range(40)] + [(100, "http://h.com/xx/?a&b&c&d")]
+    rows += [(1000 + 100 * k + i, "http://h.com/fr/?" + "&".join(q)) for k, q in enumerate(("abc", "abd", "acd", "bcd")) for i in range(40)]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, schema), mining=Mining(min_support=0.05)).collect()}
+    assert got[100] == "block" and all(v == "allow" for i, v in got.items() if i >= 1000)
+
+
 def test_all_pages_are_mined(spark):
     """600,000 pages of 40 shapes, a tenth of each with the other label: no shape is lost and all shares are exact."""
     n, shapes = 600_000, 40
