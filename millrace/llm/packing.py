@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import by_value
+from millrace.llm.common import by_value, durable
 
 by_value(__name__)
 
@@ -32,6 +32,8 @@ class Capacities:
     square: float = 262_144.0
     #: Pieces in a shard, about.
     shard_pieces: int = 20_000
+    #: Tasks that pack, at most; each packs one shard after another.
+    most_tasks: int = 20_000
 
     def __post_init__(self) -> None:
         if not self.lengths or min(self.lengths) < 1:
@@ -117,13 +119,16 @@ def assign(docs: DataFrame, length: Column, how: Capacities | None = None, key:
     Every text is in whole: its pieces cover it without overlap.  ``length`` is a text's number of tokens; rows with
     null or none have no piece.  Rows that share a key, and null keys, are packed like all others.  Bins are named by
     shard and number, and their names are unique.
+
+    Pieces are written with a number of their own, by which they are dealt: no key, however many rows it has, puts
+    more in one shard than in others.
     """
     how = how or Capacities()
-    cut = pieces(docs, length, how, key)
+    cut = durable(pieces(docs, length, how, key).withColumn("row", F.monotonically_increasing_id()), "packing-pieces")
     kind = docs.schema[key].dataType.simpleString()
     total = cut.count()
     shards = max(1, -(-total // how.shard_pieces))
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64(key, "piece"), F.lit(shards)).cast("int"))
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).repartition(min(shards, how.most_tasks), "shard")
 
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([key, "piece", "tokens"], kind="stable", ignore_index=True)
