@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import durable, key_of, shared_dir, table
+from millrace.llm.common import durable, fresh, key_of, spread_join, table
 from millrace.llm.license_sql import license_sql
 from millrace.llm.licenses import LicenseIndex
 from millrace.llm.oracles import near_sql, repeats_sql
@@ -57,7 +57,6 @@ def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rollup(spark: SparkSession, counts: DataFrame, versions: dict[str, str], recounted: dict[str, tuple[str, str]]) -> DataFrame:
-    import uuid
     from functools import reduce
 
     from pyspark.sql import functions as F
@@ -67,7 +66,7 @@ def _rollup(spark: SparkSession, counts: DataFrame, versions: dict[str, str], re
     def side(version: str, tokens: str) -> dict:
         return {"source": F.col("source"), "lang": F.col("lang"), "version": F.lit(version), "tokens": F.col(tokens)}
 
-    store = TokenRollup(spark, f"{shared_dir(spark)}/millrace/rollup-{uuid.uuid4().hex}")
+    store = TokenRollup(spark, fresh(spark, "rollup"), fold_every=2)
     all_of = lambda parts: reduce(DataFrame.unionByName, parts)
     ingest = all_of([changes(counts, "insert", new=side(v, c)) for v, c in versions.items()])
     store.commit("1-ingest", ingest)
@@ -75,7 +74,7 @@ def _rollup(spark: SparkSession, counts: DataFrame, versions: dict[str, str], re
     live = dict(recounted.get(v, (v, c)) for v, c in versions.items())
     keyed = counts.withColumn("k", key_of("doc_id"))
     first = durable(keyed.groupBy("same").agg(F.min("k").alias("first")), "token-firsts")
-    copies = durable(keyed.join(first, "same").filter("k > first"), "token-copies")
+    copies = durable(spread_join(keyed, first, ["same"]).filter("k > first"), "token-copies")
     store.commit("3-copies", all_of([changes(copies, "delete", old=side(v, c)) for v, c in live.items()]))
     store.commit("1-ingest", ingest)
     return store.totals()

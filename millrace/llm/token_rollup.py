@@ -4,7 +4,10 @@ A batch is a table of changes.  An insert adds a text's count, a delete takes it
 count away where it stood and adds the new one, which may have another source, language or version.  A batch is summed
 up to one signed row for each group before anything is stored, so what a commit writes is small.  Batches are
 committed under their own names: a commit writes to a folder of its own and moves it into place, and a name that is
-already there is left alone, so a batch that is sent twice counts once.
+already there is left alone, so a batch that is sent twice counts once; a different batch under the same name is refused.
+Totals are kept with the list of batches in them and brought up to date by the batches that came later.
+
+A commit is a rename, which must be atomic: on an object store where it isn't, one driver at a time may commit.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +53,7 @@ class TokenRollup:
 
     spark: SparkSession
     path: str
+    fold_every: int = 16
 
     def _fs(self, path: str) -> tuple:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,29 +66,78 @@ class TokenRollup:
         return sorted(s.getPath().getName().removeprefix("batch=") for s in fs.listStatus(root) if s.getPath().getName().startswith("batch="))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch of changes; False, and nothing read or written, if one of this name is there already."""
+        """Add a batch of changes; False, and nothing written, if the same batch is there already.
+
+        A different batch under a name that is taken raises ``ValueError``.  Every ``fold_every`` commits the totals
+        are brought up to date, so reading them opens few files, however many batches there were.
+        """
         if not NAME.fullmatch(batch):
             raise ValueError(f"not a batch name: {batch!r}")
         fs, target = self._fs(f"{self.path}/commits/batch={batch}")
         if fs.exists(target):
-            return False
+            return self._again(batch, signed(changes))
         made = f"{self.path}/pending/{uuid.uuid4().hex}"
-        signed(changes).coalesce(1).write.parquet(made)
+        signed(changes).write.parquet(made)
         fs.mkdirs(target.getParent())
         source = self._fs(made)[1]
         # A rename onto a folder that another driver made meanwhile would move into it.
         if fs.exists(target) or not fs.rename(source, target):
-            fs.delete(source, True)
-            return False
+            again = self.spark.read.schema(TOTALS).parquet(made)
+            try:
+                return self._again(batch, again)
+            finally:
+                fs.delete(source, True)
+        if len(self.committed()) - len(self._folded()[1]) >= self.fold_every:
+            self.fold()
         return True
 
-    def totals(self) -> DataFrame:
-        """``source, lang, version, docs, tokens`` over all batches; groups that came to nothing are left out."""
+    def _again(self, batch: str, rows: DataFrame) -> bool:
+        there = self._deltas([batch])
+        if rows.exceptAll(there).limit(1).count() or there.exceptAll(rows).limit(1).count():
+            raise ValueError(f"another batch is committed under the name {batch!r}")
+        return False
+
+    def _deltas(self, names: list[str]) -> DataFrame:
+        return self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/commits/batch={n}" for n in names])
+
+    def _folded(self) -> tuple[str | None, set[str]]:
+        """The newest complete totals, and the batches in them."""
+        fs, root = self._fs(f"{self.path}/totals")
+        if not fs.exists(root):
+            return None, set()
+        found = sorted(s.getPath().getName() for s in fs.listStatus(root))
+        for name in reversed(found):
+            where = f"{self.path}/totals/{name}"
+            if fs.exists(self._fs(f"{where}/batches/_SUCCESS")[1]):
+                return where, {r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{where}/batches").toLocalIterator()}
+        return None, set()
+
+    def fold(self) -> None:
+        """Write totals that hold all batches so far.  The list of their batches is written last and makes them valid;
+        older totals stay until the next fold, for those that still read them."""
         names = self.committed()
-        if not names:
+        where = f"{self.path}/totals/{len(names):012d}-{uuid.uuid4().hex}"
+        fs, root = self._fs(f"{self.path}/totals")
+        before = sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+        self._sum(names).write.parquet(f"{where}/rows")
+        self.spark.createDataFrame([(n,) for n in names], "batch string").write.parquet(f"{where}/batches")
+        for old in before[:-1]:
+            fs.delete(self._fs(f"{self.path}/totals/{old}")[1], True)
+
+    def totals(self) -> DataFrame:
+        """``source, lang, version, docs, tokens``: the last totals and what was committed since; groups that came to
+        nothing are left out."""
+        return self._sum(self.committed())
+
+    def _sum(self, committed: list[str]) -> DataFrame:
+        where, folded = self._folded()
+        names = [n for n in committed if n not in folded]
+        parts = [self._deltas(names)] if names else []
+        if where:
+            parts.append(self.spark.read.schema(TOTALS).parquet(f"{where}/rows"))
+        if not parts:
             return self.spark.createDataFrame([], TOTALS)
-        deltas = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/commits/batch={n}" for n in names])
-        return deltas.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs != 0 or tokens != 0")
+        return reduce(DataFrame.unionByName, parts).groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs != 0 or tokens != 0")
 
 
 def words(text: Column) -> Column:

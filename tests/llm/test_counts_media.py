@@ -34,6 +34,24 @@ def test_rollup_follows_its_changes(spark, tmp_path):
     with pytest.raises(Exception, match="unknown operation"):
         store.commit("b4", batch(change("upsert", ("s", "en", "v1", 5))))
     assert store.committed() == ["b1", "b2", "b3"]
+    with pytest.raises(ValueError, match="another batch"):
+        store.commit("b1", batch(change("insert", ("s", "en", "v1", 5))))
+    assert store.totals().count() == 2
+
+
+def test_totals_are_kept_up(spark, tmp_path):
+    store = rollup.TokenRollup(spark, f"file://{tmp_path}/r", fold_every=2)
+    for n in range(5):
+        assert store.commit(f"b{n}", spark.createDataFrame([change("insert", ("s", "en", "v1", n))], rollup.CHANGES))
+    where, folded = store._folded()
+    assert where and folded == {"b0", "b1", "b2", "b3"}
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "v1", 5, 10)]
+    # A fold that has not listed its batches counts for nothing.
+    import shutil
+
+    shutil.copytree(where.removeprefix("file://"), f"{tmp_path}/r/totals/000000000009-x")
+    shutil.rmtree(f"{tmp_path}/r/totals/000000000009-x/batches")
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "v1", 5, 10)]
 
 
 def test_query_against_brute_force(spark):
