@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ArrowStep = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -33,10 +34,13 @@ by_value(__name__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one is set where none is, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``).  Where none is set, a session of one process gets a
+    temporary one, as in tests; on a cluster that is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -50,16 +54,22 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     The files go when ``discard`` is called or the application ends.
     """
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
-    fs, folder = _folder(spark, root)
-    fs.deleteOnExit(folder)
     back = spark.read.schema(df.schema).parquet(path)
     back._millrace_path = path
     return back
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet; what is written there goes when the application ends."""
+    root = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    fs, folder = _folder(spark, root)
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a ``durable`` table that nothing reads any more."""
     fs, folder = _folder(df.sparkSession, df._millrace_path)
@@ -96,6 +106,52 @@ def frugal(run: ArrowStep) -> ArrowStep:
     return task
 
 
+#: Keys are counted in this many slots, whatever their number, so the list of hot ones is bounded.
+SLOTS = 1 << 16
+
+
+def hot_slots(rows: DataFrame, on: Sequence[str], least: int) -> list[int]:
+    """Slots of keys that hold ``least`` rows and eight times the mean: at most an eighth of all slots."""
+    counts = rows.groupBy(slot_of(on).alias("slot")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).collect()
+    if not counts:
+        return []
+    mean = rows.count() / SLOTS
+    return [r["slot"] for r in counts if r["n"] > 8 * mean]
+
+
+def slot_of(on: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(SLOTS)).cast("int")
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", ways: int = 64, least: int = 1000) -> DataFrame:
+    """Join by ``on``, where any key of ``left`` may hold a large share of its rows, and ``right`` has few rows a key.
+
+    Rows of hot keys are dealt to ``ways`` tasks whatever they hold, and their partners in ``right`` are copied to
+    each; all other keys are joined as usual.  ``left`` is read twice and must come in one order each time: a written
+    table, or rows made from one without a shuffle.
+    """
+    hot = hot_slots(left, on, least)
+    if not hot:
+        return left.join(right, list(on), how)
+    is_hot = slot_of(on).isin(hot)
+    dealt = left.withColumn("_salt", F.when(is_hot, F.floor(F.rand(17) * ways).cast("int")).otherwise(0))
+    copied = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(ways - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
+
+
+BLANK = re.compile(r"\s")
+
+
+def chunks(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about ``most`` characters that begin at white space, so that no word is cut."""
+    at = 0
+    while at < len(text):
+        found = BLANK.search(text, at + most) if at + most < len(text) else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def key_of(name: str):
     """An integer key column without nulls."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NULL_KEY))

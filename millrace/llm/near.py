@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_KEY, by_value, durable, frugal, key_of
+from millrace.llm.common import NULL_KEY, by_value, chunks, durable, frugal, key_of, spread_join
 from millrace.llm.components import components
 
 by_value(__name__)
@@ -42,7 +42,9 @@ class Near:
     tolerance: float = 1e-6
     #: Classes in a block of a bucket and of a cluster.
     bucket_block: int = 512
-    cluster_block: int = 128
+    cluster_block: int = 512
+    #: Shingles in a block of a cluster, about; clusters of long texts have blocks of fewer classes.
+    block_shingles: int = 1 << 19
     seed: int = 20260101
 
     @property
@@ -77,25 +79,32 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-def shingles(text: str | None, how: Near, powers: Powers) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles: runs of ``how.words`` words, or all words if fewer.
-
-    Words are cut at white space and compared in lower case.
-    """
-    parts = (text or "").lower().split()
-    if not parts:
-        return np.zeros(0, U)
+def word_hashes(parts: list[str], powers: Powers) -> np.ndarray:
     data = np.frombuffer(" ".join(parts).encode("utf-8", "surrogatepass"), np.uint8)
     up, down = powers.upto(len(data) + 1)
     sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTE[data] * up[:-1], dtype=U)])
     blank = np.flatnonzero(data == 32)
     starts, ends = np.concatenate([[0], blank + 1]), np.concatenate([blank, [len(data)]])
-    word = scramble((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    return scramble((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+
+
+def shingles(text: str | None, how: Near, powers: Powers) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles: runs of ``how.words`` words, or all words if fewer.
+
+    Words are cut at white space and compared in lower case.  Long texts are read in parts.
+    """
+    found = [word_hashes(parts, powers) for part in chunks(text or "") if (parts := part.lower().split())]
+    if not found:
+        return np.zeros(0, U)
+    word = np.concatenate(found) if len(found) > 1 else found[0]
     n = min(how.words, len(word))
-    total = np.zeros(len(word) - n + 1, U)
-    for j in range(n):
-        total = total * TURN + word[j : j + len(total)]
-    return np.unique(scramble(total + U(n)))
+    out = []
+    for lo in range(0, len(word) - n + 1, 1 << 20):
+        total = np.zeros(min(1 << 20, len(word) - n + 1 - lo), U)
+        for j in range(n):
+            total = total * TURN + word[lo + j : lo + j + len(total)]
+        out.append(np.unique(scramble(total + U(n))))
+    return np.unique(np.concatenate(out)) if len(out) > 1 else out[0]
 
 
 def minhash(found: np.ndarray, how: Near) -> np.ndarray:
@@ -241,20 +250,19 @@ def classes(rows: DataFrame) -> DataFrame:
     ``node`` is ``k``, or a negative number made of the set's hash if ``k`` is null or also stands for another class,
     which can only be where rows share a key.
     """
-    one = rows.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("k", "h")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    one = rows.filter("n > 0").groupBy("a", "b").agg(F.min(F.struct("k", "h")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     unknown = F.col("least.k") == NULL_KEY
     turn = F.row_number().over(Window.partitionBy("least.k", F.when(unknown, F.col("a"))).orderBy("a", "b"))
     node = F.when((turn == 1) & ~unknown, F.col("least.k")).otherwise(F.lit(-2) - F.shiftrightunsigned("a", 1))
-    return one.select("a", "b", node.alias("node"), "least.k", "least.h", "copies", "sig")
+    return one.select("a", "b", node.alias("node"), "least.k", "least.h", "copies", "sig", "n")
 
 
-def paired(members: DataFrame, group: str, size: str, block: int, what: str) -> DataFrame:
-    """Members of every pair of blocks of a group: ``group, i, j, second`` and the columns in front."""
-    blocks = F.ceil(F.col(size) / block).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(what), F.col("blocks")).cast("int"))
+def paired(members: DataFrame, group: str, what: str) -> DataFrame:
+    """Members of every pair of a group's ``blocks``: ``group, i, j, second`` and the columns in front."""
+    dealt = members.withColumn("own", F.pmod(F.xxhash64(what), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     out = dealt.withColumn("other", other)
-    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("second", F.col("own") > F.col("other")).drop("own", "other", "blocks", size).repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "second", what)
+    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("second", F.col("own") > F.col("other")).drop("own", "other", "blocks").repartition(group, "i", "j").sortWithinPartitions(group, "i", "j", "second", what)
 
 
 def groups_of(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -276,8 +284,9 @@ def candidate_edges(found: DataFrame, how: Near) -> DataFrame:
     width = 4 * how.rows
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 1 + b * width, width)) for b in range(how.bands)])
     banded = found.select("node", F.explode(keys).alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = banded.join(sizes, "bucket").join(found.select("node", "sig"), "node")
+    blocks = F.ceil(F.count(F.lit(1)) / how.bucket_block).cast("int").alias("blocks")
+    sizes = banded.groupBy("bucket").agg(blocks, F.count(F.lit(1)).alias("members")).filter("members > 1").drop("members")
+    members = spread_join(banded, sizes, ["bucket"]).join(found.select("node", "sig"), "node")
     least = fewest(how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,14 +310,14 @@ def candidate_edges(found: DataFrame, how: Near) -> DataFrame:
             edges = np.unique(np.column_stack([np.concatenate(us), np.concatenate(vs)]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
-    return paired(members, "bucket", "members", how.bucket_block, "node").mapInArrow(frugal(run), "u long, v long")
+    return paired(members, "bucket", "node").mapInArrow(frugal(run), "u long, v long")
 
 
 def with_sets(texts: DataFrame, members: DataFrame, how: Near) -> DataFrame:
     """Members of clusters with their shingle sets, of rows ``k, h, text``."""
     joined = texts.join(members, ["k", "h"])
     # Rows that share key and text are one.
-    joined = joined.select("node", "cluster", "members", "sig", "text")
+    joined = joined.select("node", "cluster", "blocks", "sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -316,9 +325,9 @@ def with_sets(texts: DataFrame, members: DataFrame, how: Near) -> DataFrame:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sets = [shingles(t, how, powers).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "cluster", "members", "sig")), pa.array(sets, pa.binary())], names=["node", "cluster", "members", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "cluster", "blocks", "sig")), pa.array(sets, pa.binary())], names=["node", "cluster", "blocks", "sig", "shingles"])
 
-    return joined.mapInArrow(frugal(run), "node long, cluster long, members long, sig binary, shingles binary")
+    return joined.mapInArrow(frugal(run), "node long, cluster long, blocks int, sig binary, shingles binary")
 
 
 def verified(members: DataFrame, how: Near) -> DataFrame:
@@ -354,7 +363,7 @@ def verified(members: DataFrame, how: Near) -> DataFrame:
                 root = node[label[some]]
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root, mask=root == node[some]), pa.array(links[some])], names=["u", "v", "links"])
 
-    return paired(members, "cluster", "members", how.cluster_block, "node").mapInArrow(frugal(run), "u long, v long, links long")
+    return paired(members, "cluster", "node").mapInArrow(frugal(run), "u long, v long, links long")
 
 
 def near_classes(docs: DataFrame, how: Near | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -372,18 +381,18 @@ def near_classes(docs: DataFrame, how: Near | None = None, key: str = "doc_id",
     found = durable(classes(rows), "near-classes")
     edges = candidate_edges(found, how)
     clusters = durable(components(edges, "near-edges"), "near-clusters")
-    sizes = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    members = clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "members")
-    members = found.select("node", "k", "h", "sig").join(members, "node")
+    told = durable(found.select("node", "k", "h", "sig", "n").join(clusters, "node").withColumnRenamed("root", "cluster"), "near-members")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / how.cluster_block), F.ceil(F.sum("n") / how.block_shingles)).cast("int").alias("blocks")
+    members = spread_join(told.drop("n"), told.groupBy("cluster").agg(blocks), ["cluster"])
     checked = durable(verified(with_sets(texts, members, how), how), "near-links")
     links = checked.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     ends = components(checked.filter("v is not null").select("u", "v"), "near-ends")
-    ends = ends.join(found.select(F.col("node").alias("root"), F.col("k").alias("class_k"), F.col("h").alias("class_h")), "root").drop("root")
+    ends = spread_join(ends, found.select(F.col("node").alias("root"), F.col("k").alias("class_k"), F.col("h").alias("class_h")), ["root"]).drop("root")
     about = durable(
         found.select("a", "b", "node", F.col("k").alias("rep"), F.col("h").alias("rep_h"), "copies").join(links, "node", "left").join(ends, "node", "left").drop("node"),
         "near-about",
     )
-    whole = rows.select("k", "h", "a", "b").join(about, ["a", "b"], "left")
+    whole = spread_join(rows.select("k", "h", "a", "b"), about, ["a", "b"], "left")
     own = lambda c: F.when(c != NULL_KEY, c)
     rep = F.coalesce("rep", "k")
     return whole.select(
