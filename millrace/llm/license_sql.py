@@ -26,19 +26,21 @@ def license_sql(index: LicenseIndex) -> str:
         postings(token, template, place, word_bit, phrase_bit) AS ({values(postings)}),
         about(template, label, most, needed) AS ({values(about)}),
         seen AS (SELECT word, count(DISTINCT rid) AS n FROM placed SEMI JOIN vocabulary USING (word) GROUP BY word),
-        hits AS (SELECT DISTINCT rid, word FROM placed SEMI JOIN vocabulary USING (word)),
-        rarest AS (
-            SELECT rid, word FROM hits JOIN seen USING (word)
-            QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n, word) <= {index.look_up}),
+        rare AS (
+            SELECT template, token FROM (SELECT DISTINCT template, token FROM postings WHERE word_bit > 0) LEFT JOIN seen ON word = token
+            QUALIFY row_number() OVER (PARTITION BY template ORDER BY coalesce(n, 0), token) <= {index.look_up}),
+        indexed AS (
+            SELECT * FROM postings SEMI JOIN rare USING (template, token) WHERE word_bit > 0
+            UNION ALL SELECT * FROM postings WHERE phrase_bit > 0),
         found AS (
             SELECT rid, i, phrase FROM placed JOIN phrases ON word = start
             WHERE array_to_string(w[i + 1 : i + n], ' ') = phrase),
         tokens AS (
-            SELECT rid, i, word AS token FROM placed JOIN rarest USING (rid, word)
+            SELECT rid, i, word AS token FROM placed SEMI JOIN vocabulary USING (word)
             UNION ALL SELECT rid, i, phrase FROM found),
         aligned AS (
             SELECT rid, template, i - place AS begins, bit_or(word_bit) AS words, bit_or(phrase_bit) AS keys
-            FROM tokens JOIN postings USING (token) GROUP BY ALL),
+            FROM tokens JOIN indexed USING (token) GROUP BY ALL),
         added AS (
             SELECT rid, label, least(1.0::DOUBLE, bit_count(words)::DOUBLE / most) AS share
             FROM aligned JOIN about USING (template) WHERE keys = needed),

@@ -1,12 +1,14 @@
 """License scans by a positional index of rare licence words.
 
-Templates are short licence notices.  Their words that aren't common English form a vocabulary, and every place of
-such a word in a template is a posting.  All licence words of a file that holds a key phrase are looked up, so that no
-template's words compete with those of others or of the rest of the file; each hit says where the template would have
-to begin, and hits that agree on that place add up.  A template is found where enough of its words agree and all its
-mandatory key phrases stand at their places.
-
-DataFrame functions only.  Of a text, one pass keeps the places of licence words.
+Templates are short licence notices.  Their words that aren't common English form a vocabulary, whose frequency over
+all files is counted.  A template is indexed by its own words of highest IDF, and every place of such a word in it is a
+posting.  All places of these words in a file that holds a key phrase are looked up, so that no template's words
+compete with those of others or of the rest of the file; each hit says where the template would have to begin, and
+hits that agree on that place add up.  A template is found where enough of its words agree and all its mandatory key
+phrases stand at their places.
+
+DataFrame functions only.  Of a text, one pass keeps the places of licence words; what is shuffled are the places in
+files with a key phrase, by file, so copies of one text are spread like other files.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import durable
@@ -64,8 +66,8 @@ def places(phrase: str, text: str) -> list[int]:
 
 @dataclass(frozen=True)
 class LicenseIndex:
-    """The templates' postings.  A template is found if enough of its licence words agree on its place, whichever
-    they are: ``least`` of as many as it has different ones, or of ``look_up`` where it has more."""
+    """The templates' postings.  A template is indexed by its ``look_up`` words of highest IDF, and found if a share
+    ``least`` of them agree on its place.  All words are counted in the corpus, and none of a file's hits is left out."""
 
     templates: tuple[Template, ...] = TEMPLATES
     look_up: int = 8
@@ -122,34 +124,50 @@ def named(token: str, starts: Column) -> Column:
 def marked(docs: DataFrame, index: LicenseIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: counts, places of base phrases, and marks of licence words and key phrases."""
     vocabulary = F.array(*[F.lit(w) for w in index.vocabulary()])
-    out = docs.select(F.col(key).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("same"), words(F.col(text)).alias("words"))
-    out = out.select("doc_id", "same", "words", F.array_intersect("words", vocabulary).alias("hits"))
+    out = docs.select(F.col(key).alias("doc_id"), words(F.col(text)).alias("words"))
+    out = out.select("doc_id", "words", F.array_intersect("words", vocabulary).alias("hits"))
     place = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     marks = F.when(F.size("hits") > 0, F.filter(place, lambda m: F.array_contains("hits", m["w"])))
-    out = out.select("doc_id", "same", "words", "hits", F.coalesce(marks, F.array().cast("array<struct<w:string,i:int>>")).alias("marks"))
+    out = out.select("doc_id", "words", "hits", F.coalesce(marks, F.array().cast("array<struct<w:string,i:int>>")).alias("marks"))
     found = [starts_of(p, F.col("marks"), F.col("words")).alias(f"base{k}") for k, p in enumerate(BASE)]
     keys = F.flatten(F.array(*[named(p, starts_of(p, F.col("marks"), F.col("words"))) for p in index.phrases()]))
-    return out.select("doc_id", "same", F.size("words").cast("long").alias("n_words"), "hits", "marks", keys.alias("keys"), *found)
+    return out.select("doc_id", F.size("words").cast("long").alias("n_words"), "hits", "marks", keys.alias("keys"), *found)
+
+
+def index_of(index: LicenseIndex, hits: DataFrame) -> DataFrame:
+    """Postings ``token, template, place, word, phrase`` of each template's rarest words and of its key phrases.
+
+    ``hits`` holds the distinct licence words of every file.  The result has fewer rows than the templates have words.
+    """
+    spark = hits.sparkSession
+    schema = "token string, template int, place int, word long, phrase long"
+    rows = index.postings()
+    of_words = spark.createDataFrame([r for r in rows if r[3]], schema)
+    of_phrases = spark.createDataFrame([r for r in rows if r[4]], schema)
+    seen = hits.select(F.explode("hits").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("files"))
+    rarity = Window.partitionBy("template").orderBy(F.coalesce("files", F.lit(0)), "token")
+    rare = of_words.select("template", "token").distinct().join(seen, "token", "left").withColumn("turn", F.row_number().over(rarity)).filter(F.col("turn") <= index.look_up)
+    return of_words.join(rare.select("template", "token"), ["template", "token"]).select(*of_phrases.columns).unionByName(of_phrases)
 
 
 def scan(docs: DataFrame, index: LicenseIndex | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Licences of every row: ``doc_id``, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
-    ``labels`` and ``score``, the share of the best template's words that agree on a place (0 without a template).
+    ``labels`` and ``score``, the share of the best template's indexed words that agree on a place (0 without a
+    template).
 
     A null text counts as empty: no words, no labels.  Repeated rows, and rows with equal or null keys, each get a
-    row of their own.  Other columns aren't read.
+    row of their own.  Words as rare as each other come in the order of the alphabet.  Other columns aren't read.
     """
     index = index or LicenseIndex()
     spark = docs.sparkSession
-    kept = durable(marked(docs, index, key, text), "license-marks")
+    kept = durable(marked(docs, index, key, text).withColumn("row", F.monotonically_increasing_id()), "license-marks")
 
     # Without a key phrase only templates that need none can be found.
-    candidates = kept.filter(F.size("keys" if all(t.phrases for t in index.templates) else "hits") > 0)
-    tokens = candidates.select("same", F.explode(F.concat("marks", "keys")).alias("m"))
-    postings = spark.createDataFrame(index.postings(), "token string, template int, place int, word long, phrase long")
+    hit = F.size("keys" if all(t.phrases for t in index.templates) else "hits") > 0
+    tokens = kept.filter(hit).select("row", F.explode(F.concat("marks", "keys")).alias("m"))
     aligned = (
-        tokens.join(F.broadcast(postings), F.col("m.w") == F.col("token"))
-        .groupBy("same", "template", (F.col("m.i") - F.col("place")).alias("begins"))
+        tokens.join(F.broadcast(index_of(index, kept)), F.col("m.w") == F.col("token"))
+        .groupBy("row", "template", (F.col("m.i") - F.col("place")).alias("begins"))
         .agg(F.bit_or("word").alias("word"), F.bit_or("phrase").alias("phrase"))
     )
     about = spark.createDataFrame([(k, t.label, min(index.look_up, len({w for _, w in index.rare(t)})), (1 << len(t.phrases)) - 1) for k, t in enumerate(index.templates)], "template int, label string, most int, needed long")
@@ -157,15 +175,18 @@ def scan(docs: DataFrame, index: LicenseIndex | None = None, key: str = "doc_id"
     added = (
         aligned.join(F.broadcast(about), "template")
         .filter((F.col("phrase") == F.col("needed")) & (share >= index.least))
-        .groupBy("same")
+        .groupBy("row")
         .agg(F.collect_set("label").alias("added"), F.max(share).alias("score"))
     )
     spans = F.flatten(F.array(*[F.col(f"base{k}") for k in range(len(BASE))]))
     base_labels = F.array_compact(F.array(*[F.when(F.size(f"base{k}") > 0, label) for k, label in enumerate(BASE.values())]))
     joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+    found = kept.select(F.col("doc_id").alias(key), "row", "n_words", hit.alias("hit"), spans.alias("spans"), base_labels.alias("base"))
+    without = found.filter(~F.col("hit")).withColumns({"added": F.lit(None).cast("array<string>"), "score": F.lit(None).cast("double")})
     return (
-        kept.select(F.col("doc_id").alias(key), "same", "n_words", spans.alias("spans"), base_labels.alias("base"))
-        .join(added, "same", "left")
+        found.filter("hit")
+        .join(added, "row", "left")
+        .unionByName(without)
         .select(
             key,
             "n_words",

@@ -150,6 +150,49 @@ def test_no_notice_hides_another(documents):
     assert all(got[i]["labels"] == "" and got[i]["score"] == 0.0 for i, _ in common)
 
 
+def brute_labels(texts, index):
+    """Every template at every place of every text, by the definition."""
+    split = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    files = {w: sum(w in set(ws) for ws in split) for w in index.vocabulary()}
+    out = []
+    for ws, text in zip(split, texts, strict=True):
+        labels, score = {x for x in brute_license(text)[4].split(",") if x}, 0.0
+        for t in index.templates:
+            own = t.text.split()
+            rare = sorted({w for _, w in index.rare(t)}, key=lambda w: (files[w], w))[: index.look_up]
+            for at in range(-len(own), len(ws)):
+                here = lambda i: ws[at + i] if 0 <= at + i < len(ws) else None  # noqa: B023, E731
+                if all(any(own[i : i + len(p.split())] == p.split() == [here(i + d) for d in range(len(p.split()))] for i in range(len(own))) for p in t.phrases):
+                    share = min(1.0, sum(w in rare and here(i) == w for i, w in enumerate(own)) / len(rare))
+                    if share >= index.least:
+                        labels.add(t.label)
+                        score = max(score, share)
+        out.append((",".join(sorted(labels)), score))
+    return out
+
+
+def test_several_licences_in_one_file_against_brute_force_and_sql(spark, documents):
+    """Files of two, four and all notices, copies of a file, and notices with words missing."""
+    import duckdb
+
+    from millrace.llm.license_sql import license_sql
+
+    index = LicenseIndex()
+    notices = [t.text for t in index.templates]
+    texts = [" ; ".join(notices), " x ".join(notices[:2]), " y ".join([notices[1], notices[11], notices[12], notices[3]]), " ".join(notices[::3]), *notices]
+    texts += [" ".join(w for k, w in enumerate(n.split()) if k % m != m - 1) for n in notices for m in (2, 3, 5)] + [texts[2]] * 40
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in scan(documents(rows)).collect()}
+    expect = brute_labels(texts, index)
+    assert [got[i] for i in range(len(texts))] == expect
+    assert set(expect[0][0].split(",")) == {t.label for t in index.templates} | {"gpl", "cc-by"}
+    assert set(expect[2][0].split(",")) == {"apache", "lgpl", "gpl", "mit", "bsd"}
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert {r[0]: (r[6], r[7]) for r in duck.sql(license_sql(index)).fetchall()} == got
+
+
 def test_templates_need_their_phrases():
     with pytest.raises(ValueError):
         LicenseIndex(templates=(Template("x", "one two", ("three",)),))
