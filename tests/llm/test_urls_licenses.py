@@ -34,29 +34,70 @@ def test_hosts_paths_and_rules(spark):
         url = next(u for i, u in URLS if i == r["page_id"])
         host, path, rule, verdict = brute_url(url)
         assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
-        assert r["verdict"] == (verdict or "allow")
+        assert r["verdict"] == (verdict or "allow") or r["by"] == "mined"
     assert judge(pages.limit(0)).count() == 0
 
 
-def test_mined_rules_block_what_the_rules_do_not_reach(spark):
-    rows = [(i, f"http://s{i}.bad.com/en/{i}/promo") for i in range(60)] + [(100 + i, f"http://s{i}.good.com/fr/{i}") for i in range(60)] + [(200, "http://n.bad.com/xx/1/promo"), (201, "http://n.good.com/xx/1")]
-    got = {r["page_id"]: r for r in judge(spark.createDataFrame(rows, "page_id long, url string"), mining=Mining(min_support=0.05)).collect()}
-    assert got[200]["rule"] is None and got[200]["verdict"] == "block"
-    assert got[201]["verdict"] == "allow" and got[1]["rule"] == "com/en/"
+def judged(spark, rows, **mining):
+    return {r["page_id"]: r for r in judge(spark.createDataFrame(rows, "page_id long, url string"), mining=Mining(**mining)).collect()}
+
+
+def test_mined_rules_decide_hosts_that_no_rule_names(spark):
+    rows = [(i, f"http://s{i}.bad.com/en/{i}/promo") for i in range(60)] + [(100 + i, f"http://s{i}.example.com/en/7{i}/about") for i in range(60)]
+    rows += [(200, "http://n.other.org/xx/1/promo"), (201, "http://n.other.org/xx/1/about"), (202, "http://n.other.org/xx/1"), (203, "http://n.bad.com/fr")]
+    got = judged(spark, rows, min_support=0.05)
+    assert got[1]["rule"] == "com/en/" and got[1]["by"] == "rule" and got[101]["verdict"] == "allow"
+    assert [(got[i]["verdict"], got[i]["by"]) for i in (200, 201, 202, 203)] == [("block", "mined"), ("allow", "mined"), ("allow", "default"), ("block", "mined")]
+    # URLs that no rule decides teach nothing, however many there are.
+    more = rows + [(1000 + i, f"http://n{i}.other.org/xx/{i}/promo") for i in range(500)]
+    got = judged(spark, more, min_support=0.05)
+    assert all(got[1000 + i]["verdict"] == "block" for i in range(500))
 
 
 def test_surer_rules_that_allow_and_rules_of_many_tokens(spark):
     """A site that is mostly blocked has a part that never is; and only four tokens together tell what is blocked."""
-    schema = "page_id long, url string"
-    rows = [(i, f"http://s{i}.bad.com/en/{i}") for i in range(90)] + [(100 + i, f"http://s{i}.bad.com/fr/{i}/about") for i in range(10)] + [(200 + i, f"http://s{i}.good.com/fr/{i}") for i in range(60)]
-    rows += [(500, "http://n.bad.com/xx/1")]
-    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, schema), mining=Mining(min_support=0.04)).collect()}
-    assert got[100] == "allow" and got[500] == "block" and got[200] == "allow"
-
-    rows = [(i, "http://h.com/en/?a&b&c&d") for i in range(40)] + [(100, "http://h.com/xx/?a&b&c&d")]
-    rows += [(1000 + 100 * k + i, "http://h.com/fr/?" + "&".join(q)) for k, q in enumerate(("abc", "abd", "acd", "bcd")) for i in range(40)]
-    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(rows, schema), mining=Mining(min_support=0.05)).collect()}
-    assert got[100] == "block" and all(v == "allow" for i, v in got.items() if i >= 1000)
+    rows = [(i, f"http://s{i}.example.com/en/5{i}") for i in range(95)] + [(100 + i, f"http://s{i}.example.com/en/7{i}/about") for i in range(5)]
+    rows += [(200 + i, f"http://s{i}.bad.com/en/{i}/about") for i in range(2)]
+    rows += [(500, "http://n.example.com/xx/1"), (501, "http://n.example.com/xx/1/about")]
+    got = judged(spark, rows, min_support=0.02, min_certainty=0.0)
+    assert got[500]["verdict"] == "block" and got[501]["verdict"] == "allow"
+    assert got[500]["by"] == got[501]["by"] == "mined"
+
+    rows = [(i, "http://example.com/en/5?a&b&c&d") for i in range(40)] + [(100, "http://example.com/xx/5?a&b&c&d")]
+    rows += [(1000 + 100 * k + i, "http://example.com/en/7?" + "&".join(q)) for k, q in enumerate(("abc", "abd", "acd", "bcd")) for i in range(40)]
+    rows += [(2000 + k, "http://example.com/xx/5?" + "&".join(q)) for k, q in enumerate(("abc", "bcd"))]
+    got = judged(spark, rows, min_support=0.05)
+    assert got[100]["verdict"] == "block" and got[100]["by"] == "mined" and all(v["verdict"] == "allow" for i, v in got.items() if i >= 1000)
+
+
+def test_labels_shares_alone_make_no_rule(spark):
+    """Nine of ten labelled URLs are blocked, and a token of them all says nothing."""
+    rows = [(i, f"http://s{i}.bad.com/en/{i}") for i in range(90)] + [(100 + i, f"http://s{i}.example.com/en/7{i}") for i in range(10)] + [(500, "http://q.net/xx/3")]
+    assert judged(spark, rows)[500]["by"] == "default"
+
+
+def test_mining_against_brute_force(spark):
+    """Every set of tokens, its share of rows and of labels, counted one by one."""
+    import itertools
+    import random
+
+    draw = random.Random(4)
+    rows = []
+    for _ in range(120):
+        has = {t for t in "abcdef" if draw.random() < 0.45} | ({"g"} if draw.random() < 0.3 else set())
+        has |= {"z"} if "a" in has else set()  # z is wherever a is
+        rows.append((sorted(has), "block" if "a" in has and "b" in has or draw.random() < 0.2 else "allow"))
+    how = Mining(min_support=0.05, min_confidence=0.7, min_certainty=0.3)
+    got = {(tuple(r["items"]), r["says"]): r["confidence"] for r in mine(spark.createDataFrame(rows, "items array<string>, label string"), how).collect()}
+    expect = {}
+    for n in range(1, 8):
+        for items in itertools.combinations("abcdefg", n):
+            inside = [says for has, says in rows if set(items) <= set(has)]
+            for says in ("block", "allow"):
+                both, share = inside.count(says), sum(s == says for _, s in rows) / len(rows)
+                if both >= 0.05 * len(rows) and both / len(inside) >= 0.7 and both / len(inside) - share >= 0.3 * (1 - share):
+                    expect[items, says] = both / len(inside)
+    assert got == expect and len(expect) > 5
 
 
 def test_all_pages_are_mined(spark):
@@ -64,7 +105,7 @@ def test_all_pages_are_mined(spark):
     n, shapes = 600_000, 40
     label = F.when((F.col("id") % 2 == 0) != (F.expr("id div 40") % 10 == 0), "block").otherwise("allow")
     labelled = spark.range(n).select(F.array(F.concat(F.lit("shape:"), (F.col("id") % shapes).cast("string")), F.lit("all")).alias("items"), label.alias("label"))
-    got = {(tuple(r["items"]), r["says"]): r["confidence"] for r in mine(labelled, Mining()).collect()}
+    got = {(tuple(r["items"]), r["says"]): r["confidence"] for r in mine(labelled, Mining(min_confidence=0.8)).collect()}
     expect = {}
     for k in range(shapes):
         says = "allow" if k % 2 else "block"
@@ -89,10 +130,11 @@ def test_pruning_and_matching_against_brute_force(spark):
 
 
 def test_query_keeps_every_page(spark):
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"
     got = op2_url_rules(spark, sf)
     assert got.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
     assert got.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+    assert got.filter("by = 'mined' and verdict = 'block'").count() > 0
 
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
