@@ -2,10 +2,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.ann import AnnSettings, fit_index, k_means, search
+from millrace.llm.ann import AnnSettings, cheapest, fit_index, k_means, search
 from millrace.llm.packing import Capacities, assign, bins, bytes_and_end, pack, words_and_end
 from millrace.llm.queries import op8_packing, op9_ivf_pq
 
@@ -131,7 +132,7 @@ def test_all_lists_visited_gives_all_neighbours(spark):
     x = rng.normal(size=(300, 12))
     x[100:200] = x[100]  # a third of all rows are one vector
     df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0, 0) for i in range(300)], "vec_id long, embedding array<double>, list int, id int")
-    got = found(search(df, top=7, every=10, how=AnnSettings(aim=1.0, rerank=100, list_block=16, query_block=4)))
+    got = found(search(df, top=7, every=10, how=AnnSettings(visits=300, depth=700, list_block=16, query_block=4)))
     for q, held in brute(np.arange(300), x, 7, 10).items():
         assert [v for v, _ in got[q]] == [v for v, _ in held] or np.allclose([s for _, s in got[q]], [s for _, s in held])
 
@@ -145,7 +146,7 @@ def test_ties_at_the_cut_go_to_smaller_ids(spark):
     low = int(ids[:3000].min() + 20) // 20 * 20
     again = [(low, [9.0] * 16)] * 50
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True) if i != low] + again, "vec_id long, embedding array<float>")
-    got = found(search(df, how=AnnSettings(aim=1.0)).filter("query_id % 100 = 0 or query_id = " + str(low)))
+    got = found(search(df, how=AnnSettings(visits=5000, depth=200)).filter("query_id % 100 = 0 or query_id = " + str(low)))
     rest = ids != low
     all_ids = np.concatenate([ids[rest], np.full(50, low)])
     all_x = np.concatenate([x[rest], np.full((50, 16), 9.0)])
@@ -163,7 +164,7 @@ def test_equal_codes_of_unequal_vectors_are_all_reranked(spark):
     rng = np.random.default_rng(9)
     x = rng.integers(-9, 10, size=(3000, 8)).astype(float)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = found(search(df, every=100, how=AnnSettings(aim=1.0, codes=1, most_lists=2, groups=4)))
+    got = found(search(df, every=100, how=AnnSettings(visits=2, depth=200, codes=1, most_lists=2, groups=4)))
     assert got == brute(np.arange(3000), x, 20, 100)
 
 
@@ -177,10 +178,60 @@ def test_vectors_that_take_no_part(spark):
     assert search(df.filter("vec_id = 0")).count() == 0
 
 
+def clustered(n, dim=32, centres=300, spread=0.35, seed=11):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    return (c[rng.integers(0, centres, n)] + spread * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+@pytest.mark.parametrize("lists", [8, 65_536])
+def test_recall_where_the_codes_decide(spark, lists):
+    """40,000 clustered vectors, also in 8 lists: each holds far more rows than are scored exactly."""
+    x = clustered(40_000)
+    how = AnnSettings(most_lists=lists)
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = found(search(rows, every=100, how=how))
+    truth = brute(np.arange(len(x)), x.astype(np.float64), every=100)
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in truth[q]}) / 20 for q in truth]) >= 0.9
+
+
+def test_cheapest_against_all_choices():
+    rng = np.random.default_rng(2)
+    turn, rank = rng.geometric(0.2, 400) - 1, rng.geometric(0.02, 400) - 1
+    visits, depth = cheapest(turn, rank, 50, 50_000, 20, 0.9)
+    assert np.mean((turn < visits) & (rank < depth)) >= 0.9
+    work = lambda v, d: v * (1000 + 8 * min(d, 1000))
+    depths = {min(20 << k, int(rank.max()) + 1) for k in range(24)}
+    assert work(visits, depth) == min(work(v, d) for v in range(1, 60) for d in depths if np.mean((turn < v) & (rank < d)) >= 0.9)
+
+
+def test_workers_need_no_package(tmp_path):
+    """Executors that don't have this package on their path."""
+    import os
+    import subprocess
+    import sys
+
+    import millrace
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(millrace.__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from millrace.llm.ann import search
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+rows = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(100)], "vec_id long, embedding array<float>")
+print("rows", search(rows).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "rows 100" in done.stdout, done.stderr[-2000:]
+
+
 def test_index_parts():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 8)).astype(np.float32)
-    index = fit_index(x, 400, 5, AnnSettings(groups=4, codes=256))
+    index = fit_index(x, 400, AnnSettings(groups=4, codes=256))
     lists = index.nearest(x)
     codes = index.encode(x, lists)
     near = x[:3] @ index.centroids[lists].T + index.distances(x[:3], codes)
