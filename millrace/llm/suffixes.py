@@ -8,13 +8,16 @@ cover all strings once, and any string of ``length`` bytes has a trigger, howeve
 
 Dictionary and parse.  Phrases are brought together by trigger.  Among equal phrases, the first in corpus order (key,
 then start) stays and the others repeat it whole: that is the parse, and it settles all but the edges of repeats.
-What remains is a dictionary: distinct phrases that share a trigger with other distinct phrases.  Their suffixes of
-``length`` bytes and more are sorted, a suffix array of the dictionary; suffixes that agree on ``length`` bytes stand
-next to each other, and the parse says which of them comes first in the corpus.
+What remains is a dictionary: distinct phrases that share a trigger with other distinct phrases.  A suffix array of
+the dictionary is made by prefix doubling up to ``length`` bytes; suffixes that agree on ``length`` bytes stand next
+to each other, and where their phrases first stand in the parse puts them in corpus order.
 
 Within a Python task equal phrases are merged before they are shuffled, so a passage that any share of all texts
 holds reaches its trigger's task once for each task.  Triggers with very many distinct phrases are spread out by
-their strings.  Phrases are equal if two hashes, 128 bits together, are; strings are compared by their bytes.
+their strings.  The most frequent are known beforehand, from a sample of texts, and dealt by phrase at once, so that a
+line that any share of all texts holds in different surroundings doesn't bring them together in one task; the sample
+decides where phrases are compared, not what comes of it.  Phrases are equal if two hashes, 128 bits together, are;
+strings are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -51,6 +54,9 @@ class Parsing:
     held: int = 250_000
     #: Distinct phrases of one trigger beyond which its strings are spread out.
     spread: int = 2048
+    #: Texts in the sample that tells hot triggers, about; and those that are dealt by phrase, at most.
+    sample: int = 10_000
+    most_hot: int = 65_536
 
     def __post_init__(self) -> None:
         if not 1 < self.gram < self.length or self.length - self.gram >= 1 << SHIFT:
@@ -132,11 +138,21 @@ def own_order(k: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(k == NULL_KEY, h, 0)
 
 
-def parse(docs: DataFrame, how: Parsing) -> DataFrame:
+def hot_triggers(texts: DataFrame, how: Parsing) -> np.ndarray:
+    """Triggers that have more than ``how.spread`` distinct phrases in all texts, as far as a sample can tell."""
+    share = min(1.0, how.sample / max(1, texts.count()))
+    some = texts.filter(F.pmod(F.xxhash64("k", "h", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    counts = parse(some, how).filter(F.size("later") == 0).select("trigger", "phrase").distinct().groupBy("trigger").count()
+    found = counts.filter(F.col("count") >= max(16, int(how.spread * share))).orderBy(F.col("count").desc(), "trigger").limit(how.most_hot)
+    return np.array(sorted(r["trigger"] for r in found.collect()), np.int64)
+
+
+def parse(docs: DataFrame, how: Parsing, hot: np.ndarray | None = None) -> DataFrame:
     """Phrases of rows of ``k, h, text`` (key, what tells apart rows of equal key, text), equal ones of a task merged.
 
     ``trigger, phrase``: their hashes; ``k, h, spot``: the first of them.  Rows with a list ``later`` instead carry those
-    that repeat another of their task; their trigger is no phrase's.  A ``spot`` is the
+    that repeat another of their task; their trigger is no phrase's.  A ``trigger`` is even; for those in ``hot`` an odd
+    number of each phrase's own stands instead.  A ``spot`` is the
     phrase's start, shifted by ``SHIFT`` bits, and its number of starts: rows of few columns shuffle in fewer bytes.
     """
     schema = "trigger long, phrase long, k long, h long, spot long, later array<struct<k:long,h:long,spot:long>>"
@@ -160,6 +176,10 @@ def parse(docs: DataFrame, how: Parsing) -> DataFrame:
         later = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(x[rest]) for x in (k, h, spot)], ["k", "h", "spot"]))
         rows = np.concatenate([heads, carried])
         trigger, phrase = np.concatenate([trigger[heads], carrier]), np.concatenate([phrase[heads], np.zeros(len(cuts), U)])
+        trigger &= ~U(1)
+        if hot is not None and len(hot):
+            own_route = np.isin(trigger.view(np.int64), hot) & (np.arange(len(trigger)) < len(heads))
+            trigger[own_route] = mixed(trigger[own_route] ^ mixed(phrase[own_route])) | U(1)
         columns = [pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), *(pa.array(x[rows]) for x in (k, h, spot))]
         return pa.RecordBatch.from_arrays([*columns, later], names=["trigger", "phrase", "k", "h", "spot", "later"])
 
@@ -195,7 +215,8 @@ def settle(parsed: DataFrame, how: Parsing) -> DataFrame:
     place = F.struct("k", own, "spot")
     one = parsed.repartition("trigger").withColumn("first", F.min(place).over(same)).withColumn("head", F.row_number().over(same.orderBy("k", own, "spot", "h")) == 1)
     one = one.withColumn("distinct", F.sum(F.col("head").cast("int")).over(Window.partitionBy("trigger")))
-    state = F.when(place > F.col("first"), 0).when(F.col("distinct") > how.spread, 2).when(F.col("distinct") > 1, 1)
+    hot = F.col("trigger").bitwiseAND(F.lit(1).cast("long")) == 1
+    state = F.when(place > F.col("first"), 0).when(hot | (F.col("distinct") > how.spread), 2).when(F.col("distinct") > 1, 1)
     return one.select("trigger", "k", "h", "spot", "later", state.alias("open")).filter(F.col("open").isNotNull() | (F.size("later") > 0))
 
 
@@ -225,7 +246,7 @@ def packed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(frugal(run), schema)
 
 
-STRINGS = "route long, k long, h long, start long, count int, bytes binary"
+STRINGS = "route long, k long, h long, start long, count int, bytes binary, single boolean"
 
 
 def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
@@ -246,13 +267,13 @@ def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))])
             spot, trigger, wide = (phrase.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             start, count = spot >> SHIFT, spot & ((1 << SHIFT) - 1)
-            rows: list[tuple[int, int, int, int, int, bytes | None]] = []
+            rows: list[tuple[int, int, int, int, int, bytes | None, bool]] = []
             for i in range(batch.num_rows):
                 own = coder.decompress(batch.column(2)[i].as_py())
                 for j in range(ends[i], ends[i + 1]):
                     at = int(start[j])
                     if wide[j] != 2:
-                        rows.append((int(trigger[j]), int(k[i]), int(h[i]), at, int(count[j]), own[at : at + count[j] + how.length - 1]))
+                        rows.append((int(trigger[j]), int(k[i]), int(h[i]), at, int(count[j]), own[at : at + count[j] + how.length - 1], False))
                         continue
                     for a in range(at, at + int(count[j])):
                         string = own[a : a + how.length]
@@ -260,40 +281,68 @@ def cut_out(texts: DataFrame, how: Parsing) -> DataFrame:
                         if before is None or before >= here:
                             if len(seen) < 200_000:
                                 seen[string] = here
-                            rows.append((int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True), int(k[i]), int(h[i]), a, 1, string))
+                            rows.append((int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "big", signed=True), int(k[i]), int(h[i]), a, 1, string, True))
                         else:
-                            rows.append((int(k[i]), int(k[i]), int(h[i]), a, 1, None))
+                            rows.append((int(k[i]), int(k[i]), int(h[i]), a, 1, None, True))
                 if len(rows) > 20_000 or rows and i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["route", "k", "h", "start", "count", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], names=["route", "k", "h", "start", "count", "bytes", "single"])
                     rows = []
 
     return texts.select("k", "h", "data", "open").mapInArrow(frugal(run), STRINGS)
 
 
-def compare(route: np.ndarray, k: np.ndarray, start: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of all suffixes by their first ``length`` bytes, equal for equal ones, by prefix doubling.
+
+    A suffix that is shorter is compared as if zero bytes followed.
+    """
+    padded = np.concatenate([data, np.zeros(length, np.uint8)])
+    first = min(8, length)
+    value = np.zeros(len(padded), U)
+    for i in range(first):
+        value[: len(padded) - i] |= padded[i:].astype(U) << U(8 * (7 - i))
+    rank, done = np.unique(value, return_inverse=True)[1], first
+    while done < length:
+        # The next bytes overlap those known where fewer than as many again are wanted.
+        step = min(done, length - done)
+        after = np.zeros(len(rank), np.int64)
+        after[: len(rank) - step] = rank[step:]
+        rank = np.unique(rank * np.int64(len(rank)) + after, return_inverse=True)[1]
+        done += step
+    return rank[: len(data)]
+
+
+def compare(k: np.ndarray, start: np.ndarray, count: np.ndarray, data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Of dictionary phrases laid end to end: the phrase and start within it of each string that an earlier one equals.
 
-    The suffixes are sorted by route and their first ``length`` bytes, equal ones in corpus order.
+    ``k`` and ``start`` tell where each phrase first stands in the parse.
     """
     order = np.lexsort((start, k))
     owner = np.repeat(order, count[order])
     ends = np.cumsum(count[order])
     inner = np.arange(len(owner)) - np.repeat(ends - count[order], count[order])
-    keys = np.empty((len(owner), 8 + length), np.uint8)
-    keys[:, :8] = route[owner].astype(">i8").view(np.uint8).reshape(-1, 8)
-    keys[:, 8:] = np.lib.stride_tricks.sliding_window_view(data, length)[offsets[owner] + inner]
-    keys = keys.view(f"V{8 + length}").ravel()
-    suffixes = np.argsort(keys, kind="stable")
-    ranked = keys[suffixes].view(np.uint8).reshape(len(owner), -1)
+    return repeated(suffix_ranks(data, length)[offsets[owner] + inner], owner, inner, k, start)
+
+
+def repeated(rank: np.ndarray, owner: np.ndarray, inner: np.ndarray, k: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of strings in corpus order, by their ``rank``: owner and start of those that an earlier one equals."""
+    array = np.argsort(rank, kind="stable")
+    rank, owner, inner = rank[array], owner[array], inner[array]
     new = np.ones(len(owner), bool)
-    new[1:] = (ranked[1:] != ranked[:-1]).any(axis=1)
+    new[1:] = rank[1:] != rank[:-1]
     head = np.maximum.accumulate(np.where(new, np.arange(len(owner)), 0))
-    owner, inner = owner[suffixes], inner[suffixes]
     at = start[owner] + inner
     later = (k[owner] != k[owner[head]]) | (at != at[head])
     return owner[later], inner[later]
 
 
+def compare_single(k: np.ndarray, start: np.ndarray, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``compare`` for phrases of one string each, which are just held against each other."""
+    order = np.lexsort((start, k))
+    rank = strings.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return repeated(rank[order], order, np.zeros(len(order), np.int64), k, start)
+
+
 def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
     """Spans ``k, h, start, count`` of strings that repeat earlier ones of the dictionary; rows are brought together
     by route and sorted by it, and each route's rows are read once."""
@@ -304,8 +353,12 @@ def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
             if known.num_rows:
                 yield known.select(["k", "h", "start", "count"])
             x = x.filter(pa.compute.is_valid(x.column("bytes")))
-            if x.num_rows < 2:
-                return
+            for single in (False, True):
+                part = x.filter(pa.compute.equal(x.column("single"), single))
+                if part.num_rows > 1:
+                    yield from spans(part, single)
+
+        def spans(x: pa.RecordBatch, single: bool) -> Iterator[pa.RecordBatch]:
             route, k, h, start, count = (x.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             data, offsets = utf8(x.column("bytes"))
             # Corpus order of the rows.
@@ -313,15 +366,18 @@ def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
             order = np.lexsort((own, k))
             rank = np.zeros(len(k), np.int64)
             rank[order[1:]] = np.cumsum((k[order[1:]] != k[order[:-1]]) | (own[order[1:]] != own[order[:-1]]))
-            # About 100,000 suffixes at once, in whole routes.
+            # About 300,000 bytes at once, in whole routes; single strings are few bytes each to compare.
             turn = np.flatnonzero(np.concatenate([[True], route[1:] != route[:-1]]))
-            sums = np.concatenate([[0], np.cumsum(count)])
-            part = sums[turn] // 100_000
+            sums = np.concatenate([[0], np.cumsum(count if single else count + how.length - 1)])
+            part = sums[turn] // 300_000
             cuts = [*turn[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))], len(route)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                owner, inner = compare(route[lo:hi], rank[lo:hi], start[lo:hi], count[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], how.length)
+                if single:
+                    owner, inner = compare_single(rank[lo:hi], start[lo:hi], x.column("bytes").slice(lo, hi - lo))
+                else:
+                    owner, inner = compare(rank[lo:hi], start[lo:hi], count[lo:hi], data[offsets[lo] : offsets[hi]], offsets[lo:hi] - offsets[lo], how.length)
                 if not len(owner):
                     continue
                 owner, at = owner + lo, start[owner + lo] + inner
@@ -352,7 +408,7 @@ def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
 def repeats(texts: DataFrame, small: DataFrame, how: Parsing) -> DataFrame:
     """For rows of ``k, h, text`` (``small``: the same, ``packed``): ``k, h, runs``, the starts of repeated strings as
     runs, each its start and count."""
-    settled = durable(settle(parse(texts, how), how), "phrases")
+    settled = durable(settle(parse(texts, how, hot_triggers(texts, how)), how), "phrases")
     whole = settled.filter(F.col("open") == 0).select("k", "h", start_of(F.col("spot")), count_of(F.col("spot")))
     merged = settled.filter(F.size("later") > 0).select(F.explode("later").alias("x")).select("x.k", "x.h", start_of(F.col("x.spot")), count_of(F.col("x.spot")))
     wanted = settled.filter(F.col("open") > 0).groupBy("k", "h").agg(F.collect_list(F.struct("spot", "trigger", "open")).alias("open"))

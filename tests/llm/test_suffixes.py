@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.queries import op7_suffixes
-from millrace.llm.suffixes import Parsing, digests, gram_hashes, phrases, readable, remove_repeats, window_min
+from millrace.llm.suffixes import Parsing, digests, gram_hashes, hot_triggers, parse, phrases, readable, remove_repeats, settle, suffix_ranks, window_min
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,6 +60,31 @@ def test_one_passage_in_very_many_texts(documents):
     assert result(digests(documents(rows), Parsing(spread=16))) == brute(rows)
 
 
+def test_a_line_in_ever_new_surroundings_is_dealt_by_phrase(documents):
+    """4000 texts with one line: its trigger has as many phrases, which don't come together in one task."""
+    draw = random.Random(5)
+    new = lambda k: "".join(draw.choice("abcdefghij ") for _ in range(k))
+    line = new(60)
+    texts = documents([(i, new(90) + line + new(90)) for i in range(4000)]).selectExpr("doc_id as k", "0L as h", "text")
+    how = Parsing()
+    hot = hot_triggers(texts, how)
+    assert 0 < len(hot) < 100
+    most = lambda parsed: parsed.groupBy("trigger").count().agg(F.max("count")).collect()[0][0]
+    assert most(parse(texts, how)) > 2048 > most(parse(texts, how, hot))
+    opened = settle(parse(texts, how, hot), how)
+    assert opened.filter("open = 2").count() > 2048 and opened.filter("open = 1").count() < 100
+
+
+def test_suffix_ranks_against_sorting():
+    draw = random.Random(2)
+    for length in (3, 8, 30, 100):
+        data = bytes(draw.choice(b"ab\xff") for _ in range(400)) + b"ab" * 150
+        keys = [data[i : i + length].ljust(length, b"\0") for i in range(len(data))]
+        order = {s: n for n, s in enumerate(sorted(set(keys)))}
+        ranks = suffix_ranks(np.frombuffer(data, np.uint8), length)
+        assert np.unique(ranks, return_inverse=True)[1].tolist() == np.unique([order[s] for s in keys], return_inverse=True)[1].tolist()
+
+
 def test_odd_rows(documents, odd_rows):
     got = digests(documents(odd_rows)).collect()
     assert len(got) == len(odd_rows)
