@@ -2,11 +2,15 @@
 
 mu-law and A-law expand by tables of 256 entries.  ADPCM blocks each begin with their decoder's state, so all blocks
 of many rows are decoded side by side: one numpy step for each sample position within a block.
+
+Resampled PCM is stored in segments of bounded length, each a WAV of its own in a row of its own, so that no row and no
+array grows with a clip.  Short clips are decoded and resampled many at once, long ones segment by segment.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -74,6 +78,11 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
+def cubic(up: int) -> np.ndarray:
+    """Weights of the four samples around each of ``up`` places between two samples."""
+    return np.array([(-(f**3) + 2 * f**2 - f, 3 * f**3 - 5 * f**2 + 2, -3 * f**3 + 4 * f**2 + f, f**3 - f**2) for f in np.arange(up) / up]) / 2
+
+
 def resample(pcm: np.ndarray, offsets: np.ndarray, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
     """Cubic resampling of many clips laid end to end, at ``up / down`` times their rate; and their new offsets.
 
@@ -85,7 +94,7 @@ def resample(pcm: np.ndarray, offsets: np.ndarray, up: int, down: int) -> tuple[
     clip = np.repeat(np.arange(len(counts)), made)
     at = (np.arange(ends[-1]) - ends[clip]) * down
     low, phase = at // up, at % up
-    weights = np.array([(-(f**3) + 2 * f**2 - f, 3 * f**3 - 5 * f**2 + 2, -3 * f**3 + 4 * f**2 + f, f**3 - f**2) for f in np.arange(up) / up]) / 2
+    weights = cubic(up)
     first, last = offsets[clip], offsets[clip + 1] - 1
     total = np.zeros(len(at))
     for k in range(4):
@@ -93,19 +102,17 @@ def resample(pcm: np.ndarray, offsets: np.ndarray, up: int, down: int) -> tuple[
     return np.clip(np.rint(total), -32768, 32767).astype(np.int16), ends
 
 
-def double_rate(pcm: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``resample(pcm, offsets, 2, 1)`` in integers: samples as they are, and between them (-1, 9, 9, -1) / 16."""
-    wide = pcm.astype(np.int32)
-    left, right, far = np.roll(wide, 1), np.roll(wide, -1), np.roll(wide, -2)
-    first, last = offsets[:-1], offsets[1:] - 1
-    left[first] = wide[first]
-    right[last] = far[last] = wide[last]
-    before = np.maximum(last - 1, first)
-    far[before] = wide[last]
-    out = np.empty(2 * len(pcm), np.int16)
-    out[0::2] = pcm
-    out[1::2] = np.clip((9 * (wide + right) - left - far + 8) >> 4, -32768, 32767)
-    return out, offsets * 2
+def resampled_part(kind: int, raw: np.ndarray, lo: int, hi: int, up: int, down: int) -> np.ndarray:
+    """Samples ``lo`` to ``hi`` of a clip's resampling; only what they need of it is decoded."""
+    n = samples_in(kind, len(raw))
+    at = np.arange(lo, hi) * down
+    low, phase = at // up, at % up
+    first, last = max(0, int(low[0]) - 1), min(n - 1, int(low[-1]) + 2)
+    pcm = decode_part(kind, raw, first, last + 1)
+    weights, total = cubic(up), np.zeros(len(at))
+    for k in range(4):
+        total += weights[phase, k] * pcm[np.clip(low + (k - 1), 0, n - 1) - first]
+    return np.clip(np.rint(total), -32768, 32767).astype(np.int16)
 
 
 def wav_header(kind: int, rate: int, n_bytes: int, n_samples: int) -> bytes:
@@ -117,7 +124,7 @@ def wav_header(kind: int, rate: int, n_bytes: int, n_samples: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 4 + len(chunks) + n_bytes) + b"WAVE" + chunks
 
 
-def read_wav(media: bytes) -> tuple[int, int, memoryview]:
+def read_wav(media: bytes | memoryview) -> tuple[int, int, memoryview]:
     """Format, sample rate and the bytes of the data chunk."""
     view, at, kind, rate = memoryview(media), 12, 0, 0
     if bytes(view[:4]) != b"RIFF" or bytes(view[8:12]) != b"WAVE":
@@ -132,15 +139,31 @@ def read_wav(media: bytes) -> tuple[int, int, memoryview]:
     raise ValueError("no data chunk")
 
 
-def decode_wav(media: bytes) -> tuple[int, np.ndarray]:
-    """Sample rate and 16-bit samples of a stored clip of any of the four formats."""
-    kind, rate, data = read_wav(media)
-    raw = np.frombuffer(data, np.uint8)
+ADPCM_SAMPLES = 1 + 2 * (UNIT - 4)
+
+
+def samples_in(kind: int, n_bytes: int) -> int:
+    """Samples of a clip's data chunk; bytes of an unfinished sample or block don't count."""
+    return {PCM: n_bytes // 2, ADPCM: n_bytes // UNIT * ADPCM_SAMPLES}.get(kind, n_bytes)
+
+
+def decode_many(kind: int, raw: np.ndarray) -> np.ndarray:
+    """16-bit samples of whole clips of one format, laid end to end."""
     if kind == PCM:
-        return rate, raw.view("<i2")
+        return raw.view("<i2")
+    if kind == ADPCM:
+        return decode_adpcm(raw.reshape(-1, UNIT)).ravel()
+    return {MULAW: mulaw_table, ALAW: alaw_table}[kind]()[raw]
+
+
+def decode_part(kind: int, raw: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Samples ``lo`` to ``hi`` of a clip."""
     if kind == ADPCM:
-        return rate, decode_adpcm(raw[: len(raw) // UNIT * UNIT].reshape(-1, UNIT)).ravel()
-    return rate, {MULAW: mulaw_table, ALAW: alaw_table}[kind]()[raw]
+        first = lo // ADPCM_SAMPLES
+        last = -(-hi // ADPCM_SAMPLES)
+        return decode_many(kind, raw[first * UNIT : last * UNIT])[lo - first * ADPCM_SAMPLES : hi - first * ADPCM_SAMPLES]
+    size = 2 if kind == PCM else 1
+    return decode_many(kind, raw[lo * size : hi * size])
 
 
 def store(df: DataFrame, payload: str = "text", media: str = "media", key: str = "doc_id") -> DataFrame:
@@ -153,7 +176,7 @@ def store(df: DataFrame, payload: str = "text", media: str = "media", key: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            for lo, hi in slices(offsets, 8 << 20):
+            for lo, hi in slices(offsets, 2 << 20):
                 made = []
                 for i in range(lo, hi):
                     own = data[offsets[i] : offsets[i + 1]].tobytes()
@@ -164,69 +187,145 @@ def store(df: DataFrame, payload: str = "text", media: str = "media", key: str =
     return df.select(key, payload).mapInArrow(frugal(run), f"`{key}` {kind}, n_bytes long, `{media}` binary")
 
 
-def to_pcm(df: DataFrame, media: str = "media", out: str = "pcm") -> DataFrame:
-    """``df`` with each stored clip, of any of the four formats, as 16-bit PCM at 16 kHz in a WAV; null for null."""
-    keep = [c for c in df.columns if c != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out) + f", `{out}` binary"
-
-    def wide(clip: bytes | None) -> bytes | None:
-        if clip is None:
-            return None
-        rate, pcm = decode_wav(clip)
-        if len(pcm) and rate != WIDE_RATE:
-            pcm = resample(pcm, np.array([0, len(pcm)]), WIDE_RATE, rate)[0]
-        return wav_header(PCM, WIDE_RATE, 2 * len(pcm), len(pcm)) + pcm.astype("<i2").tobytes()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(map(wide, part.column(media).to_pylist()), pa.binary())], names=[*keep, out])
-
-    return df.mapInArrow(frugal(run), schema)
-
-
-def features(raw: np.ndarray, offsets: np.ndarray) -> list[str]:
-    """What clips sound like: their mu-law samples' level, peak and zero crossings, their A-law level, and checksums of
-    the samples at 16 kHz and of the same bytes decoded as ADPCM blocks.  All in integers, so equal anywhere."""
-    starts, counts = offsets[:-1], np.diff(offsets)
-    pcm = mulaw_table()[raw]
-    power = np.add.reduceat(pcm.astype(np.int64) ** 2, starts) // counts
-    a_power = np.add.reduceat(alaw_table()[raw].astype(np.int64) ** 2, starts) // counts
-    peak = np.maximum.reduceat(np.abs(pcm.astype(np.int32)), starts)
-    turns = np.concatenate([[False], (pcm[1:] < 0) != (pcm[:-1] < 0)])
-    turns[starts] = False
-    crossings = np.add.reduceat(turns, starts, dtype=np.int64)
-    wide, wide_offsets = double_rate(pcm, offsets)
-    blocks = decode_adpcm(raw.reshape(-1, UNIT))
-    out = []
-    for i in range(len(starts)):
-        heard = zlib.crc32(wide[wide_offsets[i] : wide_offsets[i + 1]].data)
-        coded = zlib.crc32(blocks[offsets[i] // UNIT : offsets[i + 1] // UNIT].data)
-        out.append(f"rms={int(power[i] ** 0.5)} peak={peak[i]} zc={crossings[i]} alaw_rms={int(a_power[i] ** 0.5)} pcm16k={heard:08x} adpcm={coded:08x}")
-    return out
-
-
-def digests(stored: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
-    """Digests and features of what ``store`` wrote, from the bytes read back out of the WAV."""
+#: Samples in a segment of stored PCM, at most.
+SEGMENT = 1 << 18
+
+
+def widened(rows: pa.RecordBatch, media: str, segment: int) -> Iterator[tuple[np.ndarray, list[tuple[int, int, bytes | None]]]]:
+    """For runs of rows: the row of each segment; and its number, the number of segments, and its WAV (null for null)."""
+    clips, offsets = utf8(rows.column(media))
+    missing = rows.column(media).is_null().to_numpy(zero_copy_only=False)
+    for lo, hi in slices(offsets, segment):
+        made: dict[int, list[bytes | None]] = {i: [None] for i in range(lo, hi) if missing[i]}
+        alike: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
+        for i in range(lo, hi):
+            if missing[i]:
+                continue
+            kind, rate, data = read_wav(clips[offsets[i] : offsets[i + 1]].data)
+            raw = np.frombuffer(data, np.uint8)
+            up, down = WIDE_RATE // math.gcd(WIDE_RATE, rate), rate // math.gcd(WIDE_RATE, rate)
+            n = -(-samples_in(kind, len(raw)) * up // down)
+            if n <= segment:
+                size = {PCM: 2, ADPCM: UNIT}.get(kind, 1)
+                alike.setdefault((kind, rate), []).append((i, raw[: len(raw) // size * size]))
+                continue
+            # A long clip is a run of its own; its segments follow one by one.
+            number = -(-n // segment)
+            for k in range(number):
+                part = resampled_part(kind, raw, k * segment, min(n, (k + 1) * segment), up, down)
+                yield np.array([i]), [(k, number, wav_of(part))]
+            made[i] = []
+        for (kind, rate), held in alike.items():
+            lengths = np.array([samples_in(kind, len(raw)) for _, raw in held])
+            some = [i for i, n in enumerate(lengths) if n]
+            ends = np.concatenate([[0], np.cumsum(lengths[some])]).astype(np.int64)
+            if some:
+                pcm = decode_many(kind, np.concatenate([held[i][1] for i in some]))
+                wide, ends = resample(pcm, ends, WIDE_RATE // math.gcd(WIDE_RATE, rate), rate // math.gcd(WIDE_RATE, rate))
+            for i, n in zip([i for i, _ in held], lengths, strict=True):
+                made[i] = [wav_of(np.zeros(0, np.int16))] if not n else made.get(i, [])
+            for at, i in enumerate(some):
+                made[held[i][0]] = [wav_of(wide[ends[at] : ends[at + 1]])]
+        found = [i for i in range(lo, hi) if made[i]]
+        if found:
+            yield np.array(found), [(0, 1, made[i][0]) for i in found]
+
+
+def wav_of(pcm: np.ndarray) -> bytes:
+    return wav_header(PCM, WIDE_RATE, 2 * len(pcm), len(pcm)) + pcm.astype("<i2").tobytes()
+
+
+def pcm_rows(batches: Iterator[pa.RecordBatch], media: str, out: str, segment: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [c for c in batch.schema.names if c not in (media, out, "segment", "segments")]
+        for at, found in widened(batch, media, segment):
+            columns = [batch.column(c).take(pa.array(at)) for c in keep]
+            number, count, clip = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(number, pa.int32()), pa.array(count, pa.int32()), pa.array(clip, pa.binary())], names=[*keep, "segment", "segments", out])
+
+
+def to_pcm(df: DataFrame, media: str = "media", out: str = "pcm", segment: int = SEGMENT) -> DataFrame:
+    """Each stored clip, of any of the four formats, as 16-bit PCM at 16 kHz in WAVs of at most ``segment`` samples.
+
+    A row for each segment: the columns of ``df`` but for ``media``, ``segment`` (from 0), ``segments`` and ``out``.  A
+    row's segments follow each other in order.  A clip without samples has one empty segment, null one that is null.
+    """
+    keep = [f for f in df.schema if f.name not in (media, out, "segment", "segments")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep) + f"{', ' * bool(keep)}segment int, segments int, `{out}` binary"
+    return df.mapInArrow(frugal(lambda batches: pcm_rows(batches, media, out, segment)), schema)
+
+
+def described(batches: Iterator[pa.RecordBatch], key: str, media: str) -> Iterator[pa.RecordBatch]:
+    """Digests of stored clips and of the payload in them, and what that is as A-law and as ADPCM; ``media`` stays."""
+    alaw = alaw_table().astype(np.int64) ** 2
+    for batch in batches:
+        clips, offsets = utf8(batch.column(2))
+        for lo, hi in slices(offsets, 1 << 20):
+            rows = []
+            views = [read_wav(clips[offsets[i] : offsets[i + 1]].data)[2] for i in range(lo, hi)]
+            raws = [np.frombuffer(v, np.uint8) for v in views]
+            short = hi > lo + 1 or len(raws[0]) <= 1 << 20
+            blocks = decode_adpcm(np.concatenate(raws).reshape(-1, UNIT)) if short else None
+            first = 0
+            for i, view, raw in zip(range(lo, hi), views, raws, strict=True):
+                coded, power = 0, 0
+                for at in range(0, len(raw), 1 << 20):
+                    part = raw[at : at + (1 << 20)]
+                    n = len(part) // UNIT
+                    decoded = blocks[first : first + n] if short else decode_adpcm(part.reshape(-1, UNIT))
+                    first += n
+                    coded = zlib.crc32(np.ascontiguousarray(decoded, "<i2").data, coded)
+                    power += int(np.bincount(part, minlength=256) @ alaw)
+                clip = clips[offsets[i] : offsets[i + 1]]
+                rows.append((len(raw), hashlib.sha256(view).hexdigest(), zlib.crc32(view[-UNIT:]), len(clip), hashlib.sha256(clip.data).hexdigest(), f"alaw_rms={math.isqrt(power // len(raw))} adpcm={coded:08x}"))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            part = batch.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[key, "n_bytes", media, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "coded"])
+
+
+def heard(batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row for each clip, from its segments' rows: level, peak, zero crossings and checksum of its PCM, and its size."""
+    power = peak = turns = n = size = crc = 0
+    below = None
+    for batch in batches:
+        number, count = (batch.column(c).to_numpy() for c in ("segment", "segments"))
+        ends, features, sizes = [], [], []
+        for i, clip in enumerate(batch.column("pcm")):
+            if number[i] == 0:
+                power = peak = turns = n = size = crc = 0
+                below = None
+            view = clip.as_buffer()
+            data = read_wav(memoryview(view))[2]
+            pcm = np.frombuffer(data, "<i2")
+            if len(pcm):
+                wide = pcm.astype(np.float64)
+                power += int(wide @ wide)
+                peak = max(peak, int(wide.max()), -int(wide.min()))
+                low = pcm < 0
+                turns += int(np.count_nonzero(low[1:] != low[:-1])) + int(below is not None and below != low[0])
+                below = low[-1]
+                crc = zlib.crc32(data, crc)
+            n += len(pcm)
+            size += view.size
+            if number[i] == count[i] - 1:
+                ends.append(i)
+                sizes.append(size)
+                features.append(f"rms={math.isqrt(power // max(n, 1))} peak={peak} zc={turns} pcm16k={crc:08x}")
+        if ends:
+            done = batch.take(pa.array(ends))
+            whole = [f"{f} {c}" for f, c in zip(features, done.column("coded").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(done.column(c) for c in keep), pa.array(whole), pa.array(sizes, pa.int64())], names=[*keep, "feature", "pcm_bytes"])
+
+
+def digests(stored: DataFrame, media: str = "media", key: str = "doc_id", segment: int = SEGMENT) -> DataFrame:
+    """Digests and features of what ``store`` wrote, one row for each row: from the bytes read back out of the WAV, and
+    from the PCM at 16 kHz stored in segments and read back.  All in whole numbers, so equal anywhere.
+    """
     kind = stored.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clips, clip_offsets = utf8(batch.column(2))
-            for lo, hi in slices(clip_offsets, 2 << 20):
-                media_sha, sha, tail, sizes, data = [], [], [], [], []
-                for i in range(lo, hi):
-                    clip = clips[clip_offsets[i] : clip_offsets[i + 1]]
-                    raw = read_wav(clip.data)[2]
-                    media_sha.append(hashlib.sha256(clip.data).hexdigest())
-                    sha.append(hashlib.sha256(raw).hexdigest())
-                    tail.append(zlib.crc32(raw[-UNIT:]))
-                    sizes.append(len(raw))
-                    data.append(np.frombuffer(raw, np.uint8))
-                found = features(np.concatenate(data), np.concatenate([[0], np.cumsum(sizes)]))
-                columns = [pa.array(sizes, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array(np.diff(clip_offsets[lo : hi + 1])), pa.array(media_sha), pa.array(found)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *columns], names=[key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return stored.select(key, "n_bytes", media).mapInArrow(frugal(run), schema)
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+    kinds = [kind, "long", "long", "string", "long", "long", "string"]
+    small = ", ".join(f"`{n}` {t}" for n, t in zip(names, kinds, strict=True))
+    wide = stored.select(key, "n_bytes", media).mapInArrow(
+        frugal(lambda batches: pcm_rows(described(batches, key, media), media, "pcm", segment)), f"{small}, coded string, segment int, segments int, pcm binary"
+    )
+    return wide.mapInArrow(frugal(lambda batches: heard(batches, names)), f"{small}, feature string, pcm_bytes long")

@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import math
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -107,24 +109,64 @@ def test_decoders():
 
 def test_resampling():
     x, offsets = np.arange(-100, 100, dtype=np.int16) * 50, np.array([0, 64, 200])
-    fast, ends = tel.double_rate(x, offsets)
-    slow, ends2 = tel.resample(x, offsets, 2, 1)
-    assert (ends == ends2).all() and np.abs(fast.astype(int) - slow).max() <= 1
-    assert (fast[0::2] == x).all()
+    wide, ends = tel.resample(x, offsets, 2, 1)
+    assert ends.tolist() == [0, 128, 400] and (wide[0::2] == x).all()
     same, _ = tel.resample(x, offsets, 3, 3)
     assert (same == x).all()
     assert len(tel.resample(x, np.array([0, 200]), 2, 3)[0]) == 134
 
 
+def textbook(payload):
+    """What a payload sounds like, sample by sample."""
+    def mulaw(code):
+        code = ~code & 0xFF
+        size = ((((code & 15) << 3) + 132) << ((code >> 4) & 7)) - 132
+        return -size if code & 128 else size
+
+    def alaw(code):
+        code ^= 0x55
+        size, exponent = (code & 15) << 4, (code >> 4) & 7
+        size = size + 8 if exponent == 0 else (size + 264) << (exponent - 1)
+        return size if code & 128 else -size
+
+    x = [mulaw(c) for c in payload]
+    at = lambda i: x[min(max(i, 0), len(x) - 1)]
+    wide = []
+    for i in range(len(x)):
+        between = Fraction(-at(i - 1) + 9 * at(i) + 9 * at(i + 1) - at(i + 2), 16)
+        wide += [x[i], max(-32768, min(32767, round(between)))]
+    zc = sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:]))
+    crc = zlib.crc32(b"".join(v.to_bytes(2, "little", signed=True) for v in wide))
+    blocks = [scalar_adpcm(np.frombuffer(payload[i : i + 64], np.uint8)) for i in range(0, len(payload), 64)]
+    coded = zlib.crc32(b"".join(v.to_bytes(2, "little", signed=True) for b in blocks for v in b))
+    level = lambda v: math.isqrt(sum(s * s for s in v) // len(v))
+    return f"rms={level(wide)} peak={max(map(abs, wide))} zc={zc} pcm16k={crc:08x} alaw_rms={level([alaw(c) for c in payload])} adpcm={coded:08x}", 2 * len(wide)
+
+
+def test_segments_are_the_whole_clip():
+    raw = np.random.default_rng(2).integers(0, 256, 64 * 40, dtype=np.uint8)
+    for kind in (tel.MULAW, tel.ALAW, tel.ADPCM, tel.PCM):
+        n = tel.samples_in(kind, len(raw))
+        whole = tel.decode_many(kind, raw)
+        assert len(whole) == n and (tel.decode_part(kind, raw, 100, 200) == whole[100:200]).all()
+        for up, down in ((2, 1), (3, 2), (1, 3), (1, 1)):
+            wide = tel.resample(whole, np.array([0, n]), up, down)[0]
+            parts = [tel.resampled_part(kind, raw, lo, min(len(wide), lo + 97), up, down) for lo in range(0, len(wide), 97)]
+            assert (np.concatenate(parts) == wide).all()
+
+
 def test_payloads_come_back(documents, odd_rows):
     got = sorted((tuple(r) for r in tel.digests(tel.store(documents(odd_rows))).collect()), key=str)
+    again = sorted((tuple(r)[:-1] for r in tel.digests(tel.store(documents(odd_rows)), segment=100).collect()), key=str)
+    assert again == [r[:-1] for r in got]
     expect = []
     for i, t in odd_rows:
         raw = (t or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         wav = tel.wav_header(tel.MULAW, 8000, len(payload), len(payload)) + payload
-        feature = tel.features(np.frombuffer(payload, np.uint8), np.array([0, len(payload)]))[0]
-        expect.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), feature))
+        feature, n_pcm = textbook(payload)
+        n_pcm += len(tel.wav_header(tel.PCM, 16000, 0, 0)) * -(-n_pcm // (2 * tel.SEGMENT))
+        expect.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(wav), hashlib.sha256(wav).hexdigest(), feature, n_pcm))
     assert got == sorted(expect, key=str)
     assert tel.digests(tel.store(documents([]))).count() == 0
 
@@ -135,8 +177,16 @@ def test_stored_pcm(spark):
 
     raw = np.random.default_rng(1).integers(0, 256, 128, dtype=np.uint8).tobytes()
     clips = [(k, tel.wav_header(kind, 8000, 128, n) + raw) for k, (kind, n) in enumerate([(tel.MULAW, 128), (tel.ALAW, 128), (tel.ADPCM, 242), (tel.PCM, 64)])]
-    rows = tel.to_pcm(spark.createDataFrame([*clips, (9, None)], "id int, media binary")).collect()
-    for r, samples in zip(rows, (256, 256, 484, 128, None), strict=True):
+    clips.append((4, tel.wav_header(tel.MULAW, 8000, 0, 0)))
+    stored = spark.createDataFrame([*clips, (9, None)], "id int, media binary")
+    parts = tel.to_pcm(stored, segment=100).collect()
+    assert [(r["id"], r["segment"]) for r in parts] == sorted((r["id"], r["segment"]) for r in parts) and {r["segments"] for r in parts if r["id"] == 0} == {3}
+    rows = tel.to_pcm(stored).collect()
+    for r in rows:
+        if r["pcm"]:
+            of = lambda b: bytes(tel.read_wav(bytes(b))[2])
+            assert of(r["pcm"]) == b"".join(of(p["pcm"]) for p in parts if p["id"] == r["id"])
+    for r, samples in zip(rows, (256, 256, 484, 128, 0, None), strict=True):
         if samples is None:
             assert r["pcm"] is None
             continue
