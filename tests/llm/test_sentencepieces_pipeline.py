@@ -1,13 +1,14 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 
 import corpus_pipeline
 from millrace.llm.queries import QUERIES, op10_sentencepiece
-from millrace.llm.sentencepieces import PieceCodec, decode, encode, round_trip_digests
+from millrace.llm.sentencepieces import PieceCodec, decode, distinct_words, encode, keeps_text, round_trip_digests
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +40,38 @@ def test_a_small_table_starts_anew(library):
     assert [table.encode(t).tolist() for t in (text, text[::-1], text)] == [library.encode(t, add_bos=True, add_eos=True) for t in (text, text[::-1], text)]
 
 
+def test_long_texts_are_cut_at_blanks(library, monkeypatch):
+    from millrace.llm import sentencepieces as own
+
+    draw, table = random.Random(1), PieceCodec(MODEL).open()
+    monkeypatch.setattr(own, "BLOCK", 7)
+    for _ in range(1500):
+        text = "".join(draw.choice("  ▁▁ab\n é한🙂z") for _ in range(draw.randrange(60)))
+        ids = library.encode(text, add_bos=True, add_eos=True)
+        assert table.encode(text).tolist() == ids, repr(text)
+        assert table.decode(table.encode(text)) == library.decode(ids), repr(text)
+
+
+def test_the_table_holds_frequent_words_once(spark, documents, library):
+    rows = [(i, " ".join(f"w{j}" for j in range(64) for _ in range(1 + 100 // (j + 1)))) for i in range(8)]
+    for most in (5, 20, 1000):
+        found = {r["word"]: np.frombuffer(bytes(r["ids"]), "<u4").tolist() for r in distinct_words(documents(rows), PieceCodec(MODEL, table_words=most)).collect()}
+        assert len(found) <= most and all(ids == library.encode(w) for w, ids in found.items())
+        assert "w0" in found and (most < 1000 or len(found) == 64)
+        got = round_trip_digests(documents(rows), PieceCodec(MODEL, table_words=most))
+        assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == {i: expected(library, t) for i, t in rows}
+
+
+def test_the_models_normaliser_is_read(library):
+    model = library.serialized_model_proto()
+    assert keeps_text(model)
+    put = lambda number, value: bytes([number << 3, value])
+    spec = lambda body: bytes([3 << 3 | 2, len(body)]) + body
+    assert keeps_text(spec(put(4, 0)))
+    assert not keeps_text(spec(put(4, 1))) and not keeps_text(spec(b"")) and not keeps_text(spec(put(4, 0) + bytes([2 << 3 | 2, 1, 7])))
+    assert not keeps_text(spec(put(4, 0) + put(3, 0)))
+
+
 def test_odd_rows(documents, library, odd_rows):
     got = sorted((tuple(r) for r in round_trip_digests(documents(odd_rows), PieceCodec(MODEL)).collect()), key=str)
     assert got == sorted(((i, *expected(library, t)) for i, t in odd_rows), key=str)
