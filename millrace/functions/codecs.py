@@ -6,6 +6,7 @@ format reads to rows, and from rows to what it writes.  Codecs compose by laying
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 from enum import Enum
@@ -38,7 +39,10 @@ class Codec:
     write_options: Mapping[str, str] = field(default_factory=dict)
 
     def read(self, spark: SparkSession, *paths: str) -> DataFrame:
-        reader = spark.read.format(self.fmt).options(**self.read_options)
+        """Files, globs and folders; of folders also what is in their folders, but for Parquet, where those are
+        partitions."""
+        deep = {} if self.fmt == "parquet" else {"recursiveFileLookup": "true"}
+        reader = spark.read.format(self.fmt).options(**{**deep, **self.read_options})
         if self.schema:
             reader = reader.schema(self.schema)
         return self.decode(reader.load(list(paths)))
@@ -75,25 +79,27 @@ def lines() -> Codec:
     return Codec("text", decode=lambda df: df.select(F.regexp_replace("value", "\t$", "").alias("value")), encode=lambda df: df.select("value"), schema="value string", read_options={"lineSep": "\n"}, write_options={"lineSep": "\n"})
 
 
-def csv(schema: str, header: bool = False, sep: str = ",") -> Codec:
-    """Quoted fields may hold separators, quotes and line ends."""
+def csv(schema: str, header: bool = False, sep: str = ",", multi_line: bool = True) -> Codec:
+    """Quoted fields may hold separators and quotes, and line ends with ``multi_line``; without it large files are
+    read in parts by many tasks."""
     options = {"sep": sep, "header": str(header).lower(), "escape": '"', "quote": '"'}
-    return Codec("csv", schema=schema, read_options={**options, "multiLine": "true", "mode": "FAILFAST"}, write_options={**options, "emptyValue": "", "quoteAll": "false"})
+    return Codec("csv", schema=schema, read_options={**options, "multiLine": str(multi_line).lower(), "mode": "FAILFAST"}, write_options={**options, "emptyValue": "", "quoteAll": "false"})
 
 
 def csv_fields(sep: str = ",") -> Codec:
-    """``fields``: a line's comma-separated fields, of any number, for rows that aren't known by name.
+    """``fields``: a line's separated fields, of any number, for rows that aren't known by name; ``sep`` is a character.
 
-    A field in quotes may hold the separator and doubled quotes, not line ends.
+    A field in quotes may hold the separator and doubled quotes, not line ends.  A null field is written as an empty one.
     """
-    quoted = f'(?:^|(?<={sep}))(?:"((?:[^"]|"")*)"|([^{sep}"]*))(?={sep}|$)'
+    cut = re.escape(sep)
+    quoted = f'(?:^|(?<={cut}))(?:"((?:[^"]|"")*)"|([^{cut}"]*))(?={cut}|$)'
 
     def decode(df: DataFrame) -> DataFrame:
         whole = F.regexp_extract_all("value", F.lit(quoted), F.lit(0))
         return df.select(F.transform(whole, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f)).alias("fields"))
 
     def encode(df: DataFrame) -> DataFrame:
-        cell = lambda f: F.when(f.rlike(f'[{sep}"\n]'), F.concat(F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(f)
+        cell = lambda f: F.when(f.isNull(), "").when(f.rlike(f'[{cut}"\n]'), F.concat(F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(f)
         return df.select(F.array_join(F.transform("fields", cell), sep).alias("value"))
 
     return Codec("text", decode, encode, "value string", {"lineSep": "\n"}, {"lineSep": "\n"})
@@ -104,6 +110,12 @@ def gzipped(inner: Codec) -> Codec:
     return inner.with_options(write={"compression": "gzip"})
 
 
+def shown(schema: str) -> Codec:
+    """``value``, a struct of ``schema``, as one readable line of JSON each: for looking at, and read back."""
+    kept = {"ignoreNullFields": "false"}
+    return Codec("text", lambda df: df.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("value")), lambda df: df.select(F.to_json("value", kept).alias("value")), "value string", {"lineSep": "\n"}, {"lineSep": "\n"})
+
+
 def parquet(schema: str | None = None) -> Codec:
     """The format for structured values; columns may be added later, and are null in older files."""
     return Codec("parquet", schema=schema, read_options={"mergeSchema": "true"} if schema is None else {})
@@ -170,7 +182,10 @@ def either(left: Callable[[Column], Column], right: Callable[[Column], Column],
 
 
 def keyed_lines(count: int) -> Codec:
-    """Lines of ``count`` tab-separated key segments and a value, which may hold tabs: ``key_1 .. value``."""
+    """Lines of ``count`` tab-separated key segments and a value, which may hold tabs: ``key_1 .. value``.
+
+    Nulls are written as empty text, and keep their place; a key with a tab or a line end can't be written and fails.
+    """
     from millrace.operators.keys import segments_of
 
     def read(df: DataFrame) -> DataFrame:
@@ -178,6 +193,9 @@ def keyed_lines(count: int) -> Codec:
         return df.select(*[s.alias(f"key_{i + 1}") for i, s in enumerate(segments)], rest.alias("value"))
 
     def write(df: DataFrame) -> DataFrame:
-        return df.select(F.concat_ws("\t", *[f"key_{i + 1}" for i in range(count)], "value").alias("value"))
+        text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+        segments = [text(f"key_{i + 1}") for i in range(count)]
+        fit = [F.when(s.rlike("[\t\n]"), F.raise_error(F.concat(F.lit("keyed lines: a key holds a tab or line end: "), s))).otherwise(s) for s in segments]
+        return df.select(F.concat(*[x for s in fit for x in (s, F.lit("\t"))], text("value")).alias("value"))
 
     return Codec("text", read, write, "value string", {"lineSep": "\n"}, {"lineSep": "\n"})

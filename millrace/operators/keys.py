@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,11 @@ class Segment:
     order: Order = Order.REGULAR
     reverse: bool = False
 
-    def sort_expression(self) -> Column:
-        value = F.col(self.name).try_cast("double") if self.order is Order.NUMERIC else F.col(self.name).cast("string")
-        return value.desc() if self.reverse else value.asc()
+    def sort_expressions(self) -> list[Column]:
+        """Numbers are compared as doubles, which any number fits, and then exactly, as those above 2^53 may need."""
+        value = F.col(self.name)
+        values = [value.try_cast("double"), value.try_cast("decimal(38,10)")] if self.order is Order.NUMERIC else [value.cast("string")]
+        return [v.desc() if self.reverse else v.asc() for v in values]
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,13 @@ class Key:
 
     def sort_expressions(self) -> list[Column]:
         grouping = set(self.grouping)
-        return [F.col(s.name) if s.name in grouping else s.sort_expression() for s in self.segments]
+        return [e for s in self.segments for e in ([F.col(s.name)] if s.name in grouping else s.sort_expressions())]
+
+    def window(self) -> WindowSpec:
+        """Rows of each group in the order of the rest of the key."""
+        rest = [e for s in self.segments if s.name not in set(self.grouping) for e in s.sort_expressions()]
+        window = Window.partitionBy(*self.grouping)
+        return window.orderBy(*rest) if rest else window
 
 
 def key(*names: str | Segment, group: int | None = None) -> Key:
@@ -69,8 +77,9 @@ def numeric(name: str, reverse: bool = False) -> Segment:
 
 
 def flat_key(*parts: Column | str) -> Column:
-    """Segments as one string, joined by ``|``."""
-    return F.concat_ws("|", *parts)
+    """Segments as one string, joined by ``|``; a null segment is empty and keeps its place."""
+    texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]
+    return F.concat(*[x for t in texts for x in (F.lit("|"), t)][1:])
 
 
 def int_key(value: Column) -> Column:
@@ -79,8 +88,15 @@ def int_key(value: Column) -> Column:
 
 
 def utc_key(value: Column) -> Column:
-    """A time as text whose order is the order of time; Spark's times hold microseconds."""
-    return F.date_format(value.cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    """A time as text in UTC whose order is the order of time; Spark's times hold microseconds.
+
+    An instant is told in UTC whatever the session's zone; a time without a zone is taken to be UTC.
+    """
+    seconds = (F.unix_micros(value.cast("timestamp")).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    none = F.lit(0)
+    instant = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(none, none, none, seconds)
+    told = F.when(F.typeof(value) == "timestamp", instant).otherwise(value.cast("timestamp_ntz")).cast("string")
+    return F.rpad(F.when(F.length(told) == 19, F.concat(told, F.lit("."))).otherwise(told), 26, "0")
 
 
 def time_of_key(text: Column) -> Column:

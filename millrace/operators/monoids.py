@@ -92,9 +92,12 @@ def map_of(key: str, value: str) -> Monoid:
         return F.map_concat(a, F.map_filter(b, lambda k, _: ~F.array_contains(F.map_keys(a), k)))
 
     def aggregate(v: Column, order: Column | None) -> Column:
-        empty = F.create_map().cast(f"map<{key},{value}>")
-        # Maps have no order among equals of ``order``; their entries have.
-        return F.aggregate(_in_order(F.map_entries(v), order), empty, lambda done, x: merge(done, F.map_from_entries(x)))
+        # All entries by key and then by place; of each key the first stays.  Keys must have an order, as those of a
+        # group do.
+        entries = F.flatten(F.filter(_in_order(F.map_entries(v), order), lambda x: x.isNotNull()))
+        placed = F.array_sort(F.transform(entries, lambda x, i: F.struct(x["key"].alias("k"), i.alias("i"), x["value"].alias("v"))))
+        kept = F.filter(placed, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(placed, i - 1)["k"]))
+        return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
 
     return Monoid("map", lambda: F.create_map().cast(f"map<{key},{value}>"), merge, aggregate, ordered=True)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from millrace.operators.grouped import OnError, Reducer, reduce_sorted
@@ -39,23 +39,31 @@ class Options:
 
 @dataclass(frozen=True)
 class Stage:
-    """A named step from rows to rows.  ``before >> stage`` and ``stage >> after`` compose with plain functions."""
+    """A named step from rows to rows.  ``before >> stage`` and ``stage >> after`` compose with plain functions.
+
+    ``step`` takes the rows, and the options in force when it is called if it ``takes_options``.
+    """
 
     name: str
-    step: Step
+    step: Callable[..., DataFrame]
     options: Options = field(default_factory=Options)
+    takes_options: bool = False
 
     def __call__(self, df: DataFrame) -> DataFrame:
         if self.options.map_tasks:
-            df = df.repartition(self.options.map_tasks)
-        out = self.step(df)
-        return out
+            # Fewer tasks read more each; more need the rows to be dealt out anew.
+            fewer = self.options.map_tasks < df.rdd.getNumPartitions()
+            df = df.coalesce(self.options.map_tasks) if fewer else df.repartition(self.options.map_tasks)
+        return self._apply(df, self.options)
+
+    def _apply(self, df: DataFrame, options: Options) -> DataFrame:
+        return self.step(df, options) if self.takes_options else self.step(df)
 
     def __rshift__(self, after: Step | Stage) -> Stage:
-        return replace(self, step=lambda df: after(self.step(df)))
+        return replace(self, step=lambda df, options: after(self._apply(df, options)), takes_options=True)
 
     def __rrshift__(self, before: Step) -> Stage:
-        return replace(self, step=lambda df: self.step(before(df)))
+        return replace(self, step=lambda df, options: self._apply(before(df), options), takes_options=True)
 
     def having(self, **options: object) -> Stage:
         return replace(self, options=replace(self.options, **options))
@@ -71,13 +79,15 @@ def aggregate(name: str, keys: Sequence[str] | Key, aggregates: Mapping[str, Col
     names = keys.grouping if isinstance(keys, Key) else names_of(keys)
     cells = [c.alias(n) for n, c in aggregates.items()]
 
-    def step(df: DataFrame) -> DataFrame:
+    def step(df: DataFrame, options: Options) -> DataFrame:
         rows = mapper(df) if mapper else df
         if not names:
             return rows.groupBy(F.lit("").alias("_all")).agg(*cells).drop("_all")
-        return rows.dropna(subset=names).groupBy(*names).agg(*cells)
+        out = rows.dropna(subset=names).groupBy(*names).agg(*cells)
+        # Rows are few by now, so that dealing them to as many tasks as asked for keeps the partial aggregation.
+        return out.repartition(options.reduce_tasks, *names) if options.reduce_tasks else out
 
-    return Stage(name, step)
+    return Stage(name, step, takes_options=True)
 
 
 def reduce_by(name: str, keys: Sequence[str], monoid: Monoid, value: Column, order: Column | None = None, out: str = "value", mapper: Step | None = None) -> Stage:
@@ -87,13 +97,25 @@ def reduce_by(name: str, keys: Sequence[str], monoid: Monoid, value: Column, ord
 
 def reduce_with(name: str, by: Key, reducer: Reducer, schema: str, mapper: Step | None = None, options: Options | None = None) -> Stage:
     """A Python reducer over groups sorted by the whole key."""
-    chosen = options or Options()
 
-    def step(df: DataFrame) -> DataFrame:
+    def step(df: DataFrame, options: Options) -> DataFrame:
         rows = mapper(df) if mapper else df
-        return reduce_sorted(rows, by, reducer, schema, chosen.on_error, chosen.reduce_tasks, name)
+        return reduce_sorted(rows, by, reducer, schema, options.on_error, options.reduce_tasks, name)
+
+    return Stage(name, step, options or Options(), takes_options=True)
+
+
+def over_groups(name: str, by: Key, columns: Mapping[str, Callable[[WindowSpec], Column]], running: bool = True) -> Stage:
+    """Columns over each group's rows in the order of the whole key, by window functions: a secondary sort whose
+    reducer Spark knows.  With ``running`` a row sees its group up to itself, else all of it."""
+
+    def step(df: DataFrame) -> DataFrame:
+        window = by.window()
+        if running:
+            window = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return by.keyed(df).withColumns({n: make(window) for n, make in columns.items()})
 
-    return Stage(name, step, chosen)
+    return map_only(name, step)
 
 
 def fold(name: str, keys: Sequence[str], value: Column, order: Column, start: Column, step: Callable[[Column, Column], Column], out: str = "value") -> Stage:
@@ -146,4 +168,4 @@ def combiner_agrees(df: DataFrame, keys: Sequence[str], monoid: Monoid, value: s
     return not whole.exceptAll(again).limit(1).count() and not again.exceptAll(whole).limit(1).count()
 
 
-__all__ = ["Options", "Stage", "aggregate", "combiner_agrees", "first_by", "flat_map", "fold", "key", "map_only", "reduce_by", "reduce_with", "sort_all", "spread", "tee_first", "top"]
+__all__ = ["Options", "Stage", "aggregate", "combiner_agrees", "first_by", "flat_map", "fold", "key", "map_only", "over_groups", "reduce_by", "reduce_with", "sort_all", "spread", "tee_first", "top"]

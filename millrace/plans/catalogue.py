@@ -17,9 +17,10 @@ from millrace.functions.text import lines_of, prefix, words
 from millrace.operators import grouped, keys, monoids
 from millrace.operators.joins import inner_merge, monoid_join, optional, required
 from millrace.operators.keys import key, numeric
-from millrace.operators.stage import aggregate, first_by, flat_map, fold, map_only, reduce_by, reduce_with, sort_all, top
+from millrace.operators.stage import aggregate, first_by, flat_map, fold, map_only, over_groups, reduce_by, reduce_with, sort_all, top
 from millrace.plans.metrics import Counters
 from millrace.plans.pipeline import Pipeline
+from millrace.plans.session import scratch
 from millrace.sources.taps import concat, file_name, tagged, tap
 from millrace.streaming.incremental import sessions, windowed
 
@@ -108,12 +109,12 @@ def combiner_law(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (reduce_by("parts", ["l_returnflag", "part"], add, F.col("l_quantity").cast("long"), out="qty") >> reduce_by("whole", ["l_returnflag"], add, F.col("qty"), out="qty"))(rows)
 
 
-@query("SELECT event_id, event_type || ':' || CAST(part AS VARCHAR) AS part FROM (SELECT event_id, event_type, unnest([1, 2]) AS part FROM events) WHERE event_id % 3 <> 0")
+@query("SELECT event_id, event_type || ':' || CAST(part AS VARCHAR) AS part FROM (SELECT event_id, event_type, unnest([1, 2]) AS part FROM events) WHERE event_type <> 'view' OR part = 1")
 def python_mapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     def twice(rows):
         for row in rows:
-            if row["event_id"] % 3:
-                yield from ({"event_id": row["event_id"], "part": f"{row['event_type']}:{n}"} for n in (1, 2))
+            parts = (1,) if row["event_type"] == "view" else (1, 2)
+            yield from ({"event_id": row["event_id"], "part": f"{row['event_type']}:{n}"} for n in parts)
 
     return grouped.map_rows(table(spark, sf_dir, "events").select("event_id", "event_type"), twice, "event_id long, part string")
 
@@ -148,10 +149,10 @@ def join_required_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("value.id").cast("long").alias("o_orderkey"), F.col("value.t").alias("value"))
 
 
-@query("SELECT coalesce(s_suppkey, k) AS k, CAST(coalesce(n, 0) + coalesce(b, 0) AS BIGINT) AS value FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY ALL HAVING l_suppkey % 3 <> 0) FULL JOIN (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS b FROM supplier WHERE s_suppkey % 2 = 0) ON s_suppkey = k")
+@query("SELECT coalesce(s_suppkey, k) AS k, CAST(coalesce(n, 0) + coalesce(b, 0) AS BIGINT) AS value FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_discount > 0.09 AND l_quantity > 40 AND l_returnflag = 'R' GROUP BY ALL) FULL JOIN (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS b FROM supplier WHERE s_acctbal > 0) ON s_suppkey = k")
 def join_all_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sold = aggregate("sold", ["k"], {"value": counted()}, mapper=lambda df: df.select(F.col("l_suppkey").alias("k")).filter("k % 3 != 0"))(table(spark, sf_dir, "lineitem"))
-    rich = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k"), cents("s_acctbal").alias("value"))
+    sold = aggregate("sold", ["k"], {"value": counted()}, mapper=lambda df: df.filter("l_discount > 0.09 and l_quantity > 40 and l_returnflag = 'R'").select(F.col("l_suppkey").alias("k")))(table(spark, sf_dir, "lineitem"))
+    rich = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), cents("s_acctbal").alias("value"))
     return monoid_join([optional(sold), optional(rich)], "k", monoids.sum_())
 
 
@@ -234,13 +235,10 @@ def composite_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM events WHERE user_id IS NOT NULL")
 def secondary_sort_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def running(total: int, row: dict) -> tuple[int, list[dict]]:
-        total += row["cents"] or 0
-        return total, [{"event_id": row["event_id"], "user_id": row["user_id"], "running": total}]
-
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", cents("value").alias("cents"))
     by = key("user_id", "ts", numeric("event_id"), group=1)
-    return reduce_with("running", by, grouped.scan(running, int), "event_id long, user_id long, running long")(rows)
+    stage = over_groups("running", by, {"running": lambda w: F.sum(F.coalesce("cents", F.lit(0))).over(w)})
+    return stage(rows).select("event_id", "user_id", "running")
 
 
 @query("SELECT user_id, count(*) AS events, CAST(sum(new) AS BIGINT) AS sessions FROM (SELECT user_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL) GROUP BY user_id")
@@ -257,11 +255,8 @@ def secondary_sort_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS BIGINT) AS place FROM orders WHERE o_custkey IS NOT NULL")
 def numeric_comparator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def places(k: tuple, rows):
-        for place, row in enumerate(rows, 1):
-            yield {"o_custkey": k[0], "o_orderkey": row["o_orderkey"], "place": place}
-
-    return reduce_with("places", key("o_custkey", numeric("o_orderkey", reverse=True), group=1), places, "o_custkey long, o_orderkey long, place long")(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"))
+    stage = over_groups("places", key("o_custkey", numeric("o_orderkey", reverse=True), group=1), {"place": lambda w: F.row_number().over(w).cast("long")})
+    return stage(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"))
 
 
 @query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS place FROM orders")
@@ -342,11 +337,6 @@ def fanout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fan_out(table(spark, sf_dir, "events"), F.col("event_type"), f"{scratch(spark)}/fanout-{uuid.uuid4().hex}")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder that executors share: the session's checkpoint folder, or else its warehouse."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
 @query("SELECT 'nation' AS name, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def file_name_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda t: table(spark, sf_dir, t).select(F.regexp_extract(file_name(), r"([a-z]+)\.parquet(/[^/]*)?$", 1).alias("name"))
@@ -404,3 +394,7 @@ def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sessions(table(spark, sf_dir, "events"), "ts", "30 minutes", "10 minutes", ["user_id"], {"n": counted()})
     return found.groupBy("user_id").agg(counted().alias("sessions"), F.sum("n").alias("events"))
+
+
+# Queries that write and read back register themselves.
+from millrace.plans import catalogue_io  # noqa: E402, F401

@@ -15,10 +15,12 @@ from dataclasses import dataclass, field
 from enum import Enum
 from functools import reduce
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.codecs import Codec, parquet
 from millrace.operators.stage import Stage
+from millrace.plans.session import scratch
 from millrace.sources.files import Files
 from millrace.sources.taps import Tap, Union, tap
 
@@ -48,16 +50,19 @@ class Pipeline:
 
     spark: SparkSession
     name: str
-    workspace: str = "tmp"
+    #: Where temporary taps are: a folder that executors share; the session's checkpoint folder by default.
+    workspace: str = ""
     rerun: Rerun = Rerun.FAIL
     variables: dict[str, object] = field(default_factory=dict)
     _once: dict[str, object] = field(default_factory=dict)
+    _shipped: dict[str, Broadcast] = field(default_factory=dict)
     #: Names of stages, and whether each was run or skipped.
     history: list[tuple[str, str]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if not re.fullmatch("[a-z0-9]+", self.name):
             raise ValueError(f"a pipeline's name is lower-case letters and digits: {self.name!r}")
+        self.workspace = self.workspace or scratch(self.spark)
 
     @property
     def files(self) -> Files:
@@ -115,10 +120,16 @@ class Pipeline:
         return df.mapInArrow(run, df.schema)
 
     def run_once(self, name: str, compute: Callable[[], object]) -> object:
-        """A value computed on the driver once per pipeline, sent to executors as a broadcast."""
+        """A value computed on the driver once per pipeline."""
         if name not in self._once:
-            self._once[name] = self.spark.sparkContext.broadcast(compute())
-        return self._once[name].value
+            self._once[name] = compute()
+        return self._once[name]
+
+    def shipped(self, name: str, compute: Callable[[], object]) -> Broadcast:
+        """``run_once`` as a broadcast, for functions that run in tasks: each executor gets the value once."""
+        if name not in self._shipped:
+            self._shipped[name] = self.spark.sparkContext.broadcast(self.run_once(name, compute))
+        return self._shipped[name]
 
     def set(self, name: str, value: object) -> None:
         """A variable; stages launched from now on see this value."""
@@ -170,7 +181,7 @@ def app(name: str) -> Callable[[Callable[[Pipeline], object]], Callable[[Pipelin
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
     """Run an app: its name, then ``--workspace DIR`` and ``--rerun fail|rerun|skip``."""
-    options = {"--workspace": "tmp", "--rerun": "fail"}
+    options = {"--workspace": "", "--rerun": "fail"}
     names = []
     rest = list(args)
     while rest:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import sys
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.codecs import Codec
+from millrace.sources.files import Files
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,9 +40,26 @@ class Tap:
         return self.codec.read(spark, *self.paths)
 
     def write(self, df: DataFrame, mode: str = "errorifexists", **options: str) -> None:
-        """A path with an extension, such as ``out.csv``, gets a directory of one part; others as many as there are."""
-        target = self.paths[0]
-        self.codec.write(df, target, mode, single_file="." in target.rstrip("/").rsplit("/", 1)[-1], **options)
+        """A path with an extension, such as ``out.csv``, becomes one file; others a directory of as many parts as there
+        are.  One file is written by one task."""
+        target = self.paths[0].rstrip("/")
+        if "." not in target.rsplit("/", 1)[-1]:
+            self.codec.write(df, target, mode, **options)
+            return
+        files = Files(df.sparkSession)
+        if mode == "errorifexists" and files.exists(target):
+            raise FileExistsError(target)
+        folder, name = target.rsplit("/", 1) if "/" in target else (".", target)
+        made = f"{folder}/_{name}-{uuid.uuid4().hex}"
+        try:
+            self.codec.write(df, made, "errorifexists", single_file=True, **options)
+            fs, where = files._open(made)
+            parts = [s.getPath().toString() for s in fs.listStatus(where) if s.getPath().getName().startswith("part-")]
+            files.delete(target)
+            if not files.rename(parts[0], target):
+                raise OSError(f"can't move the written file to {target}")
+        finally:
+            files.delete(made)
 
 
 def tap(path: str, codec: Codec) -> Tap:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from millrace.operators import monoids
 from millrace.operators.grouped import GroupError, OnError, combine, map_rows, reduce_sorted
 from millrace.operators.joins import Input, inner_merge, last_of, monoid_join, optional, required
-from millrace.operators.keys import int_key, key, numeric, packed_key, segments_of, time_of_key, utc_key
+from millrace.operators.keys import flat_key, int_key, key, numeric, packed_key, segments_of, time_of_key, utc_key
 from millrace.plans import session
-from millrace.operators.stage import aggregate, combiner_agrees, first_by, fold, map_only, reduce_by, tee_first
+from millrace.operators.stage import aggregate, combiner_agrees, first_by, fold, map_only, over_groups, reduce_by, reduce_with, tee_first
 
 
 def join_model(inputs, needed):
@@ -90,6 +90,64 @@ def test_times_sort_as_their_keys(spark, times):
     assert all(r["back"] == r["t"] for r in rows)
 
 
+def test_instants_are_told_in_utc(spark):
+    """Two instants an hour apart that have one wall clock in New York, and a time that New York skips."""
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp_seconds(s) AS t FROM VALUES (1730611800), (1730615400), (-1), (0) AS v(s)").select(utc_key(F.col("t")).alias("k"))
+        assert [r["k"] for r in df.collect()] == ["2024-11-03 05:30:00.000000", "2024-11-03 06:30:00.000000", "1969-12-31 23:59:59.000000", "1970-01-01 00:00:00.000000"]
+        skipped = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.25' AS t").select(utc_key(F.col("t")).alias("k"))
+        assert skipped.collect()[0]["k"] == "2024-03-10 02:30:00.250000"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_numbers_beyond_doubles_sort_exactly(spark):
+    big = 2**53
+    rows = [str(big + 1), str(big), "1e30", "-0.5", "x", str(big + 2), "0.25"]
+    df = spark.createDataFrame([(r,) for r in rows], "n string")
+    assert [r["n"] for r in df.orderBy(*key(numeric("n"), group=0).sort_expressions()).collect()] == ["x", "-0.5", "0.25", str(big), str(big + 1), str(big + 2), "1e30"]
+    longs = spark.createDataFrame([(big + 1,), (big,), (2**63 - 1,), (2**63 - 2,)], "n long")
+    assert [r["n"] for r in longs.orderBy(*key(numeric("n", reverse=True), group=0).sort_expressions()).collect()] == [2**63 - 1, 2**63 - 2, big + 1, big]
+
+
+def test_null_segments_keep_their_place(spark):
+    df = spark.createDataFrame([(None, "a"), ("a", None)], "x string, y string")
+    assert [r[0] for r in df.select(flat_key("x", "y")).collect()] == ["|a", "a|"]
+
+
+def test_options_edited_later_hold(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "g string, n int")
+
+    def bad(k, rows):
+        for r in rows:
+            if k[0] == "a":
+                raise ValueError("no")
+            yield {"n": r["n"]}
+
+    stage = reduce_with("r", key("g"), bad, "n int")
+    assert [r["n"] for r in stage.having(on_error=OnError.SKIP_KEY)(df).collect()] == [2]
+    composed = (lambda d: d.filter("n > 0")) >> stage >> (lambda d: d.selectExpr("n * 10 as n"))
+    assert [r["n"] for r in composed.having(on_error=OnError.SKIP_KEY)(df).collect()] == [20]
+    with pytest.raises(Exception, match="key \\('a',\\)"):
+        composed(df).collect()
+    counts = aggregate("c", ["g"], {"n": F.count(F.lit(1))}).having(reduce_tasks=3)(df)
+    assert counts.rdd.getNumPartitions() == 3 and counts.count() == 2
+
+
+def test_columns_over_groups(spark):
+    df = spark.createDataFrame([("a", 10, 1), ("a", 9, 2), ("b", 1, 5), (None, 1, 7)], "g string, n int, v int")
+    by = key("g", numeric("n"), group=1)
+    got = over_groups("s", by, {"sum": lambda w: F.sum("v").over(w)})(df).collect()
+    assert {(r["g"], r["n"], r["sum"]) for r in got} == {("a", 9, 2), ("a", 10, 3), ("b", 1, 5)}
+
+
+def test_maps_keep_the_first_of_each_key(spark):
+    rows = [(n, {k: n for k in range(n % 5)}) for n in range(200)] + [(500, None)]
+    out = reduce_by("m", [], monoids.map_of("int", "int"), F.col("m"), F.col("n"))(spark.createDataFrame(rows, "n int, m map<int,int>")).collect()
+    assert out[0]["value"] == {0: 1, 1: 2, 2: 3, 3: 4}
+
+
 def test_integers_sort_as_text_or_as_numbers(spark):
     df = spark.createDataFrame([(n,) for n in (100, 9, -1, 10, 0)], "n int").select("n", int_key(F.col("n")).alias("k"))
     assert [r["n"] for r in df.orderBy(*key("k", group=0).sort_expressions()).collect()] == [-1, 0, 10, 100, 9]

@@ -36,6 +36,8 @@ def test_variables_effects_and_names(spark, tmp_path):
     pipeline = Pipeline(spark, "p1", str(tmp_path))
     made = []
     assert [pipeline.run_once("v", lambda: made.append(1) or 5) for _ in range(2)] == [5, 5] and made == [1]
+    assert pipeline.shipped("v", lambda: 6).value == 5 and pipeline.shipped("v", lambda: 6) is pipeline.shipped("v", lambda: 7)
+    assert Pipeline(spark, "p2").workspace.startswith("file:")
     pipeline.set("a", 1)
     assert (pipeline.get("a"), pipeline.get("b", 2), pipeline.io(lambda: 3)) == (1, 2, 3)
     seen = spark.sparkContext.accumulator(0)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import codecs
 from millrace.functions.text import prefix
-from millrace.sources.fanout import fan_out
+from millrace.sources.fanout import Strategy, fan_out
 from millrace.sources.files import Files
 from millrace.sources.taps import binary_dir, concat, file_list, read_small, tagged, tap, taps, untagged
 
@@ -31,6 +31,50 @@ def test_csv_fields(spark):
     assert [r["value"] for r in codec.encode(got).collect()] == ['a,"b,""c""",,d', "", "x"]
 
 
+def test_fields_with_other_separators_and_nulls(spark):
+    codec = codecs.csv_fields("|")
+    df = spark.createDataFrame([("a|b|c",), ("|",)], "value string")
+    assert [r["fields"] for r in codec.decode(df).collect()] == [["a", "b", "c"], ["", ""]]
+    nulls = spark.createDataFrame([(["a", None, "b|c"],)], "fields array<string>")
+    assert codec.encode(nulls).collect()[0]["value"] == 'a||"b|c"'
+    for sep in ".^]":
+        one = spark.createDataFrame([(["x", "y" + sep, ""],)], "fields array<string>")
+        assert codecs.csv_fields(sep).decode(codecs.csv_fields(sep).encode(one)).collect()[0]["fields"] == ["x", "y" + sep, ""]
+
+
+def test_keyed_lines_keep_null_segments_and_refuse_tabs(spark):
+    codec = codecs.keyed_lines(2)
+    rows = spark.createDataFrame([(None, "b", "v"), ("a", None, None)], "key_1 string, key_2 string, value string")
+    assert [r["value"] for r in codec.encode(rows).collect()] == ["\tb\tv", "a\t\t"]
+    with pytest.raises(Exception, match="holds a tab"):
+        codec.encode(spark.createDataFrame([("a\tb", "c", "v")], "key_1 string, key_2 string, value string")).collect()
+
+
+def test_csv_without_line_ends_has_many_readers(spark, tmp_path):
+    rows = spark.range(20000).selectExpr("id", "repeat('x', 20) as t")
+    out = tap(str(tmp_path / "c"), codecs.csv("id long, t string", multi_line=False))
+    out.write(rows.coalesce(1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        assert out.read(spark).rdd.getNumPartitions() > 3 and out.read(spark).count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_folders_within_folders_and_single_files(spark, tmp_path):
+    (tmp_path / "d/e/f").mkdir(parents=True)
+    (tmp_path / "d/e/f/x.txt").write_text("deep\n")
+    (tmp_path / "d/y.txt").write_text("flat\n")
+    assert {r["value"] for r in tap(str(tmp_path / "d"), codecs.lines()).read(spark).collect()} == {"deep", "flat"}
+    one = tap(str(tmp_path / "out/one.csv"), codecs.csv("id long"))
+    one.write(spark.range(10))
+    assert (tmp_path / "out/one.csv").is_file() and one.read(spark).count() == 10
+    with pytest.raises(FileExistsError):
+        one.write(spark.range(3))
+    one.write(spark.range(3), "overwrite")
+    assert one.read(spark).count() == 3 and [p.name for p in (tmp_path / "out").iterdir() if "crc" not in p.name] == ["one.csv"]
+
+
 def test_gzip(spark, tmp_path):
     out = tap(str(tmp_path / "out"), codecs.gzipped(codecs.lines()))
     out.write(spark.createDataFrame([("x",)], "value string"))
@@ -101,6 +145,55 @@ def test_fan_out(spark, tmp_path):
     assert not [p for p in tmp_path.iterdir() if "staging" in p.name]
 
 
+def test_fan_out_to_targets_that_are_there(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "out")
+    old = spark.createDataFrame([("a", 1), ("b", 2)], "t string, n int")
+    new = spark.createDataFrame([("a", 3), ("c", 4)], "t string, n int")
+    fan_out(old, F.col("t"), base)
+    rows = lambda: sorted(r["n"] for r in spark.read.option("recursiveFileLookup", "true").parquet(base).collect())
+    with pytest.raises(FileExistsError):
+        fan_out(new, F.col("t"), base)
+    assert rows() == [1, 2]
+    # Moving fails midway: all is as before.
+    real, calls = Files.rename, []
+
+    def flaky(self, source, target):
+        calls.append(target)
+        return False if target.endswith("out/c") else real(self, source, target)
+
+    monkeypatch.setattr(Files, "rename", flaky)
+    with pytest.raises(OSError):
+        fan_out(new, F.col("t"), base, replace=True)
+    monkeypatch.undo()
+    assert calls and rows() == [1, 2] and not [p for p in tmp_path.iterdir() if "staging" in p.name]
+    stats = fan_out(new, F.col("t"), base, replace=True)
+    assert rows() == [2, 3, 4] and {(r["path"], r["count"]) for r in stats.collect()} == {("a", 1), ("c", 1)}
+
+
+def test_fan_out_strategies(spark, tmp_path):
+    rows = spark.createDataFrame([("ab"[i // 2 % 2], i) for i in range(12)], "t string, n int").coalesce(1)
+    fan_out(rows, F.col("t"), str(tmp_path / "runs"), "json", strategy=Strategy.RUNS)
+    assert len(list((tmp_path / "runs/a").iterdir())) == 3 and spark.read.json(str(tmp_path / "runs/a")).count() == 6
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    fan_out(rows, F.col("t"), str(tmp_path / "open"), strategy=Strategy.OPEN)
+    assert [r["n"] for r in spark.read.parquet(str(tmp_path / "open/b")).collect()] == [2, 3, 6, 7, 10, 11]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_rows_are_computed_once_and_counted_as_written(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(50).mapInArrow(look, "id long")
+    for fmt in ("parquet", "json"):
+        fan_out(df, F.col("id") % 2, str(tmp_path / fmt), fmt)
+    assert seen.value == 100
+
+
 def test_failed_fan_out_publishes_nothing(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 0)], "t string, n int").withColumn("n", F.when(F.col("n") == 0, F.raise_error(F.lit("stop"))).otherwise(F.col("n")))
     with pytest.raises(Exception, match="stop"):
