@@ -96,7 +96,12 @@ def map_of(key: str, value: str) -> Monoid:
         # group do.
         entries = F.flatten(F.filter(_in_order(F.map_entries(v), order), lambda x: x.isNotNull()))
         placed = F.array_sort(F.transform(entries, lambda x, i: F.struct(x["key"].alias("k"), i.alias("i"), x["value"].alias("v"))))
-        kept = F.filter(placed, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(placed, i - 1)["k"]))
+
+        def firsts(p: Column) -> Column:
+            return F.filter(p, lambda x, i: (i == 0) | ~x["k"].eqNullSafe(F.get(p, i - 1)["k"]))
+
+        # A variable of a lambda, so that the sorted entries are computed once and not for each of them.
+        kept = F.transform(F.array(placed), firsts)[0]
         return F.map_from_entries(F.transform(kept, lambda x: F.struct(x["k"], x["v"])))
 
     return Monoid("map", lambda: F.create_map().cast(f"map<{key},{value}>"), merge, aggregate, ordered=True)
