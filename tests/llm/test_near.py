@@ -78,6 +78,17 @@ def test_one_large_group(documents):
     assert got == brute(rows)
 
 
+def test_hot_classes_and_clusters_are_spread(documents):
+    """Over a thousand copies of one text, as many texts like it, and keys that are null: one class and one cluster hold
+    most of all rows, and no task gets most of a join's."""
+    base = [f"w{i}" for i in range(150)]
+    alike = [" ".join([*base[: i % 150], f"y{i}", *base[i % 150 + 1 :]]) for i in range(1100)]
+    rows = [(i, " ".join(base)) for i in range(1500)] + [(5000 + i, t) for i, t in enumerate(alike)] + [(None, " ".join(base))] * 1200
+    got = near_classes(documents(rows)).groupBy("class_id", "n_copies", "n_links").count().collect()
+    assert sorted(tuple(r) for r in got if r["n_copies"] > 1) == [(None, 2700, 1100, 2700)]
+    assert sum(r["count"] for r in got) == len(rows) and all(r["class_id"] is None for r in got)
+
+
 def test_odd_rows(documents, odd_rows):
     got = sorted((tuple(r)[:5] for r in near_classes(documents(odd_rows)).collect()), key=str)
     assert len(got) == len(odd_rows)
