@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 ArrowStep = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-#: What a null key sorts and joins as, inside operators only.
+#: What a null key sorts and joins as, inside operators only; keys are whole numbers above it.
 NULL_KEY = -(2**63)
 
 
@@ -84,15 +84,20 @@ def _folder(spark: SparkSession, path: str) -> tuple:
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to 8 MB in a session that leaves their size at Spark's own 64 MB.
+
+    For programs that own their session, as the registered queries and the pipeline do; operators leave it as it is.
+    """
+    if spark.conf.get(BATCH_BYTES, "8m") in ("64MB", "64m", "67108864", "67108864b"):
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def frugal(run: ArrowStep) -> ArrowStep:
     """A function for ``mapInArrow`` whose task gives its free memory back at the end.
 
-    A Python worker else keeps the most it ever used, beside the JVM's heap.  Arrow batches are held to 8 MB in
-    sessions that leave their size at Spark's own 64 MB.
+    A Python worker else keeps the most it ever used, beside the JVM's heap.
     """
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.conf.get(BATCH_BYTES, "8m") in ("64MB", "64m", "67108864", "67108864b"):
-        spark.conf.set(BATCH_BYTES, "8m")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -123,14 +128,14 @@ def slot_of(on: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*on), F.lit(SLOTS)).cast("int")
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", ways: int = 64, least: int = 1000) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", ways: int = 64, least: int = 1000, hot: list[int] | None = None) -> DataFrame:
     """Join by ``on``, where any key of ``left`` may hold a large share of its rows, and ``right`` has few rows a key.
 
     Rows of hot keys are dealt to ``ways`` tasks whatever they hold, and their partners in ``right`` are copied to
     each; all other keys are joined as usual.  ``left`` is read twice and must come in one order each time: a written
-    table, or rows made from one without a shuffle.
+    table, or rows made from one without a shuffle.  ``hot`` are its ``hot_slots`` where the caller knows them.
     """
-    hot = hot_slots(left, on, least)
+    hot = hot_slots(left, on, least) if hot is None else hot
     if not hot:
         return left.join(right, list(on), how)
     is_hot = slot_of(on).isin(hot)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import durable, fresh, key_of, spread_join, table
+from millrace.llm.common import durable, fresh, key_of, small_batches, spread_join, table
 from millrace.llm.license_sql import license_sql
 from millrace.llm.licenses import LicenseIndex
 from millrace.llm.oracles import near_sql, repeats_sql
@@ -121,18 +122,21 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), codec)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": op1_toxicity,
-    "op2_url_rules": op2_url_rules,
-    "op3_licenses": op3_licenses,
-    "op4_token_rollup": op4_token_rollup,
-    "token_rollup_words": token_rollup_words,
-    "op5_jaccard": op5_jaccard,
-    "op6_telephony": op6_telephony,
-    "op7_suffixes": op7_suffixes,
-    "op8_packing": op8_packing,
-    "op9_ivf_pq": op9_ivf_pq,
-    "op10_sentencepiece": op10_sentencepiece,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def in_small_batches(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: in_small_batches(q)
+    for q in (op1_toxicity, op2_url_rules, op3_licenses, op4_token_rollup, token_rollup_words, op5_jaccard, op6_telephony, op7_suffixes, op8_packing, op9_ivf_pq, op10_sentencepiece)
 }
 
 #: Tokens of version words-2: runs of ASCII letters and digits or beyond ASCII.

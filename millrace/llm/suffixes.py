@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_KEY, by_value, durable, frugal, key_of, slices, utf8
+from millrace.llm.common import NULL_KEY, by_value, durable, frugal, hot_slots, key_of, slices, spread_join, utf8
 
 by_value(__name__)
 
@@ -406,8 +406,8 @@ def dictionary(strings: DataFrame, how: Parsing) -> DataFrame:
 
 
 def repeats(texts: DataFrame, small: DataFrame, how: Parsing) -> DataFrame:
-    """For rows of ``k, h, text`` (``small``: the same, ``packed``): ``k, h, runs``, the starts of repeated strings as
-    runs, each its start and count."""
+    """For rows of distinct ``k, h`` and ``text`` (``small``: the same, ``packed``): ``k, h, runs``, the starts of
+    repeated strings as runs, each its start and count."""
     settled = durable(settle(parse(texts, how, hot_triggers(texts, how)), how), "phrases")
     whole = settled.filter(F.col("open") == 0).select("k", "h", start_of(F.col("spot")), count_of(F.col("spot")))
     merged = settled.filter(F.size("later") > 0).select(F.explode("later").alias("x")).select("x.k", "x.h", start_of(F.col("x.spot")), count_of(F.col("x.spot")))
@@ -430,8 +430,12 @@ def remove_repeats(docs: DataFrame, how: Parsing | None = None, key: str = "doc_
     shared = docs.groupBy(key_of(key)).count().filter("count > 1").limit(1).count()
     apart = F.xxhash64(F.coalesce(F.col(text), F.lit(""))) if shared else F.lit(0).cast("long")
     rows = docs.select(key_of(key).alias("k"), apart.alias("h"), F.col(text).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
-    texts = rows.select("k", "h", "text")
-    found = packed(rows).join(repeats(texts, packed(texts), how), ["k", "h"], "left")
+    texts, hot = rows.select("k", "h", "text"), []
+    if shared:
+        # Rows that share key and text are one place, however many; they are parsed once, and get its runs back.
+        hot = hot_slots(texts, ["k", "h"], 1000)
+        texts = durable(texts.groupBy("k", "h").agg(F.min("text").alias("text")), "distinct-texts")
+    found = spread_join(packed(rows), repeats(texts, packed(texts), how), ["k", "h"], "left", hot=hot)
     kinds = [docs.schema[c].dataType.simpleString() for c in keep]
     names = [f"keep_{i}" for i in range(len(keep))]
 
