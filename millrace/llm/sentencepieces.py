@@ -100,6 +100,19 @@ BLOCK = 1 << 20
 WORD_END = re.compile("(?<! ) ")
 
 
+class Rows(dict):
+    """Row numbers of words; a word that is looked up for the first time gets the next one and is noted in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.fresh.append(word)
+        return row
+
+
 class WordTable:
     def __init__(self, codec: PieceCodec, shared: SharedTable | None = None) -> None:
         import sentencepiece
@@ -113,36 +126,41 @@ class WordTable:
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[str, int] = {}
+        self.row = Rows()
         self.starts = np.zeros(1024, np.int64)
         self.counts = np.zeros(1024, np.int64)
         self.pool = np.zeros(8192, np.uint32)
         self.rows = self.used = 0
         if self.shared:
             words, counts, pool = self.shared.rows.value
-            self._put(words.to_pylist(), counts.astype(np.int64), pool)
+            self.row.update(zip(words.to_pylist(), range(len(words)), strict=True))
+            self._put(counts.astype(np.int64), pool)
         self.most = self.rows + self.codec.table_words
 
-    def _add(self, words: list[str]) -> None:
-        """Segment new marked words.  A key has no first marker: the library puts it there itself."""
+    def segmented(self, words: list[str]) -> list[list[int]]:
+        """Ids of marked words.  A word comes without its first marker: the library puts it there itself."""
         found = self.sp.encode(words, num_threads=1)
         if "" in words:  # the library puts no marker before an empty text
-            found[words.index("")] = [self.sp.piece_to_id(MARK)]
+            found = [ids if w else [self.sp.piece_to_id(MARK)] for w, ids in zip(words, found, strict=True)]
+        return found
+
+    def _add(self, words: list[str]) -> None:
+        """Segment new words, whose rows are taken already."""
+        found = self.segmented(words)
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        self._put(words, counts, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())))
+        self._put(counts, np.fromiter((i for ids in found for i in ids), np.uint32, int(counts.sum())))
 
-    def _put(self, words: list[str], counts: np.ndarray, flat: np.ndarray) -> None:
+    def _put(self, counts: np.ndarray, flat: np.ndarray) -> None:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.rows + len(words) > len(self.starts):
+        while self.rows + len(counts) > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
         self.pool[self.used : self.used + len(flat)] = flat
-        at = slice(self.rows, self.rows + len(words))
+        at = slice(self.rows, self.rows + len(counts))
         self.starts[at] = self.used + np.cumsum(counts) - counts
         self.counts[at] = counts
-        self.row.update(zip(words, range(self.rows, self.rows + len(words)), strict=True))
-        self.rows += len(words)
+        self.rows += len(counts)
         self.used += len(flat)
 
     @staticmethod
@@ -182,10 +200,10 @@ class WordTable:
     def _ids(self, words: list[str]) -> np.ndarray:
         if self.rows > self.most:
             self._clear()
-        fresh = list(dict.fromkeys(w for w in words if w not in self.row))
-        if fresh:
-            self._add(fresh)
         rows = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
+        if self.row.fresh:
+            self._add(self.row.fresh)
+            self.row.fresh = []
         counts = self.counts[rows]
         ends = np.cumsum(counts)
         return self.pool[np.repeat(self.starts[rows] - ends + counts, counts) + np.arange(ends[-1])]
@@ -228,6 +246,8 @@ def distinct_words(df: DataFrame, codec: PieceCodec, text: str = "text") -> Data
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = codec.open(), Counter()
+        if not table.separable:
+            return  # texts are encoded whole
 
         def flush() -> pa.RecordBatch:
             often = {w: n for w, n in held.items() if n > 1}
@@ -248,7 +268,7 @@ def distinct_words(df: DataFrame, codec: PieceCodec, text: str = "text") -> Data
         for batch in batches:
             for lo in range(0, batch.num_rows, 10_000):
                 words = batch.column(0).slice(lo, 10_000).to_pylist()
-                ids = [table._ids([w]).astype("<u4").tobytes() for w in words]
+                ids = [np.array(x, "<u4").tobytes() for x in table.segmented(words)]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(ids, pa.binary())], names=["word", "ids"])
 
     spark = df.sparkSession
