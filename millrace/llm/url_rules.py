@@ -21,7 +21,7 @@ from millrace.llm.common import durable, spread_join
 from millrace.llm.licenses import LOWER, UPPER
 
 #: Host suffix and start of the path, with the verdict.
-RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 BLOCK, ALLOW = "block", "allow"
 
 
