@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm.ann import AnnSettings, cheapest, fit_index, k_means, search
+from millrace.llm.ann import AnnSettings, Frame, cheapest, directions, fit_index, k_means, search
 from millrace.llm.packing import Capacities, assign, bins, bytes_and_end, pack, words_and_end
 from millrace.llm.queries import op8_packing, op9_ivf_pq
 
@@ -195,6 +195,28 @@ def test_recall_where_the_codes_decide(spark, lists):
     assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in truth[q]}) / 20 for q in truth]) >= 0.9
 
 
+@pytest.mark.parametrize(("low", "high", "kind"), [(1e20, 1e20, "float"), (1.0, 1e25, "float"), (1e150, 1e150, "double")])
+def test_recall_at_any_magnitude(spark, low, high, kind):
+    """Squares of such vectors are beyond single precision; half of the rows are ``low``, half ``high``."""
+    x = clustered(4000).astype(kind)
+    x *= np.where(np.arange(len(x)) // 20 % 2, high, low).astype(kind)[:, None]
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": pa.array(list(x))}), f"vec_id long, embedding array<{kind}>")
+    got = found(search(rows))
+    truth = brute(np.arange(len(x)), x.astype(np.float64))
+    assert np.mean([len({v for v, _ in got[q]} & {v for v, _ in truth[q]}) / 20 for q in truth]) >= 0.9
+
+
+def test_frames_keep_the_order_of_inner_products():
+    x = clustered(500)[:, :16].astype(np.float64)
+    for moved in (x * 1e-200, x * 1e200, x + 1000.0, np.concatenate([x, x[:50] * 1e300])):
+        narrow, q = Frame.of(moved).rows(moved), directions(moved[:5])
+        assert np.isfinite(narrow).all() and np.isfinite((narrow * narrow).sum(axis=1)).all()
+        for i in range(5):
+            near = q[i] @ (moved[:500] / np.abs(moved[:500]).max()).T
+            assert np.corrcoef(near, q[i] @ narrow[:500].astype(np.float64).T)[0, 1] > 0.999999
+    assert (Frame.of(np.ones((9, 4))).rows(np.ones((9, 4))) == 0).all()
+
+
 def test_cheapest_against_all_choices():
     rng = np.random.default_rng(2)
     turn, rank = rng.geometric(0.2, 400) - 1, rng.geometric(0.02, 400) - 1
